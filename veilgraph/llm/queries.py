@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from veilgraph.llm import mixing, sharding
+from veilgraph.llm import decontam, mixing, sharding, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_shard": sharding.op2_shard,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE, "op2_shard": sharding.oracle()}
+    return {"op1_mix": mixing.ORACLE, "op2_shard": sharding.oracle(), "op10_decontaminate": decontam.ORACLE}
