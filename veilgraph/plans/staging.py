@@ -60,8 +60,7 @@ def drop_staged(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of df, from file sizes: costs no scan."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_width(df: DataFrame, bytes_per_part: int = 16 << 20, ratio: float = 1.0) -> int:
