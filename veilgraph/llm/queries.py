@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from veilgraph.llm import decontam, mixing, sharding, simhash
+from veilgraph.llm import decontam, langid, mixing, sharding, simhash, substrings
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_shard": sharding.op2_shard,
+    "op4_langid": langid.op4_langid,
+    "op5_substrings": substrings.op5_substrings,
     "op8_simhash": simhash.op8_simhash,
     "op10_decontaminate": decontam.op10_decontaminate,
 }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_mix": mixing.ORACLE, "op2_shard": sharding.oracle(), "op10_decontaminate": decontam.ORACLE}
+    return {"op1_mix": mixing.ORACLE, "op2_shard": sharding.oracle(), "op5_substrings": substrings.ORACLE, "op10_decontaminate": decontam.ORACLE}
