@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veilgraph.llm import decontam, langid, mixing, sharding, simhash, substrings
+from veilgraph.llm import decontam, katz, langid, mixing, sharding, simhash, substrings
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
     "op2_shard": sharding.op2_shard,
+    "op3_katz": katz.op3_katz,
     "op4_langid": langid.op4_langid,
     "op5_substrings": substrings.op5_substrings,
     "op8_simhash": simhash.op8_simhash,
