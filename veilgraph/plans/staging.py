@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[str] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,15 +37,21 @@ def staged(df: DataFrame, name: str = "rows", partition_by: list[str] | None = N
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     Columnar and compressed, so it suits wide or long intermediate tables
-    that are read several times.  drop_staged() removes what is no longer
-    needed.
+    that are read several times.  The shuffle files of the write go when it
+    ends: nothing reads them again.  drop_staged() removes tables that are no
+    longer needed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
