@@ -30,7 +30,7 @@ from veilgraph.llm.blocks import deltas, encode, hash128, narrow, pack, split_wo
 from veilgraph.plans.staging import input_bytes, shuffle_width, staged
 
 #: Documents in a chunk; a text of LONG bytes or more is a chunk of its own.
-CHUNK_ROWS, LONG = 1024, 32 << 10
+CHUNK_ROWS, LONG = 2048, 64 << 10
 #: Rows of the count-min table.
 DEPTH = 2
 #: Id that stands for a null one: larger than any other.
@@ -111,6 +111,19 @@ def _sketch(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[first], np.diff(np.append(first, len(cells))) > 1
 
 
+def _members(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which values are among chosen (sorted): a table over their low bits
+    settles most, a binary search the rest."""
+    out, low = np.zeros(len(values), bool), np.uint64((1 << 22) - 1)
+    if len(chosen):
+        table = np.zeros(1 << 22, bool)
+        table[chosen & low] = True
+        maybe = np.flatnonzero(table[values & low])
+        at = np.minimum(np.searchsorted(chosen, values[maybe]), len(chosen) - 1)
+        out[maybe[chosen[at] == values[maybe]]] = True
+    return out
+
+
 def _blob_table(buckets: list[int], chunk: int, blobs: list[bytes]) -> dict:
     return {"bucket": pa.array(buckets, pa.int32()), "chunk": pa.array([chunk] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())}
 
@@ -225,11 +238,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
             for part in np.flatnonzero(np.diff(at)).tolist():
                 if (answer := said.get(row * parts + part)) is not None:
                     flags[at[part] : at[part + 1]] = np.unpackbits(answer)[: at[part + 1] - at[part]]
-            if not flags.any():
-                repeated[:] = False
-                break
-            left_over = np.flatnonzero(repeated)
-            repeated[left_over] = flags[np.searchsorted(cells, own[left_over])]
+            repeated &= _members(own, cells[flags])
         chosen = np.flatnonzero(repeated)
         doc, hit = windows.doc[chosen], np.zeros(len(windows.ids), bool)
         hit[doc] = True
