@@ -58,19 +58,21 @@ def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) per row of docs. Null and empty texts get fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, tag: Column | None = None) -> DataFrame:
+    """(doc_id, tag, fp) per row of docs; tag is a long that goes along.
+    Null and empty texts get fingerprint 0."""
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             words, at = split_words(block.column("text"), LOWER)
             words, at = words.cast(pa.large_binary()), at.tolist()
             found = [fingerprint(words.slice(a, b - a).to_pylist(), width, seed) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("tag"), pa.array(found, pa.int64())], ["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    tag = F.lit(None) if tag is None else tag
+    rows = docs.select(F.col(id_col).alias("doc_id"), tag.cast("long").alias("tag"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(per_block, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(per_block, f"doc_id {kind}, tag long, fp long")
 
 
 def _part_counts(fp: Column) -> list[Column]:
@@ -164,23 +166,40 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(compare, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs: component_id is the
-    smallest id among the documents that a chain of fingerprints, each within
-    radius bits of the next, reaches.
+def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
+    """(doc_id, tag, fp, root, component_id) for every row of docs:
+    component_id is the smallest id among the documents that a chain of
+    fingerprints, each within radius bits of the next, reaches; root is the
+    component's smallest fingerprint.
 
     Defined results: null and empty texts have fingerprint 0 and link like
     any other; repeated rows each get a row; a null id never becomes a
     component_id unless the component has no other (then it is null); an
     empty table gives an empty result; extra columns are ignored.
     """
-    rows = staged(fingerprints(docs, id_col, text_col, width, seed), "simhash-rows")
+    rows = staged(fingerprints(docs, id_col, text_col, width, seed, tag), "simhash-rows")
     groups = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
     links = component_links(near_links(groups, radius)).select(F.col("vid").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(links, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "tag", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the
+    smallest id (null last), of equal ids that with the smallest hash of all
+    columns, of rows equal throughout any one."""
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_duplicates(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col, tag=own)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
+    first = found.groupBy("root").agg(F.min(order).alias("x"))
+    again = found.groupBy("root", "doc_id", "tag").agg(F.count("*").alias("times")).select(F.col("root").alias("r"), F.col("doc_id").alias("d"), F.col("tag").alias("t"), "times")
+    first = first.join(again, (F.col("root") == F.col("r")) & F.col("x.doc_id").eqNullSafe(F.col("d")) & (F.col("x.tag") == F.col("t")))
+    first = staged(first.select(F.col("t").alias("_simhash_tag"), "times"), "simhash-first")
+    tagged = docs.withColumn("_simhash_own", own)
+    pick = lambda kept: tagged.join(kept, tagged["_simhash_own"] == kept["_simhash_tag"], "left_semi").drop("_simhash_own")
+    return pick(first.where("times = 1")).unionByName(pick(first.where("times > 1")).dropDuplicates())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
