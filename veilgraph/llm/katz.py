@@ -39,7 +39,7 @@ K = 5
 #: Contexts seen more often may be spread over buckets; they always set one
 #: part in c + 1 aside for unseen words.
 BIG = 50_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 
 _START, _END = b" ", b"\n"  # no word contains either
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -74,15 +74,15 @@ class Tokens:
         plain = dictionary.to_pylist()
         hashes = hash64(pa.array([*plain, _START, _END], pa.large_binary()))
         order = np.argsort(hashes, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.hashes = hashes[order]
         codes = rank[codes]
         self.context = np.insert(codes, at[:-1], rank[-2])
         self.word = np.insert(codes, at[1:], rank[-1])
         self.start, self.n_docs = int(rank[-2]), len(at) - 1
         self.lengths = np.diff(at) + 1
-        self.doc = np.repeat(np.arange(self.n_docs), self.lengths)
+        self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.lengths)
         self.held = block.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
 
 
@@ -109,7 +109,8 @@ _MIXED = "kind int, bucket int, peer long, seen array<long>, hot array<long>, ho
 _MIXED_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "peer": pa.int64(), "seen": pa.list_(pa.int64()), "hot": pa.list_(pa.int64()), "hot_stats": pa.list_(pa.float64()), "blob": pa.binary()}
 #: Kinds of rows that the stages pass on. PARTIAL: sums per document of block
 #: peer. BIGRAMS: the pairs of context bucket peer with words of bucket.
-#: UNSEEN: words without a seen bigram, of block peer. CONTEXTS: a context
+#: UNSEEN: words of bucket without a seen bigram, from context bucket peer; in
+#: answers, logarithms summed per document of block peer. CONTEXTS: a context
 #: bucket's totals and its unseen tokens. MASS: seen unigram mass of contexts
 #: of bucket. COUNTS: numbers of bigrams by count.
 PARTIAL, BIGRAMS, UNSEEN, CONTEXTS, MASS, COUNTS = range(1, 7)
@@ -188,8 +189,9 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
         peers = table.column("peer").to_pylist()
         blobs = [unpack(b) for b in table.column("blob").to_pylist()]
         vocabulary, where = np.unique(np.concatenate([undelta(x[3]) for x in blobs]), return_inverse=True)
+        where = where.astype(np.int32)
         sizes = np.cumsum([0, *(len(x[3]) for x in blobs)])
-        docs = [undelta(x[0]).astype(np.int64) for x in blobs]
+        docs = [undelta(x[0]).astype(np.int32) for x in blobs]
         contexts, words, train = [], [], []
         for k, (_, c, w, _, held) in enumerate(blobs):
             local = where[sizes[k] : sizes[k + 1]]
@@ -198,8 +200,9 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
             train.append(np.unpackbits(held)[docs[k]] == 0)
         cuts = np.cumsum([0, *map(len, docs)])
         context, word, train = np.concatenate(contexts), np.concatenate(words), np.concatenate(train)
-        del contexts, words, blobs
-        pairs, pair = np.unique(context * len(vocabulary) + word, return_inverse=True)
+        del contexts, words, blobs, where
+        pairs, pair = np.unique(context.astype(np.int64) * len(vocabulary) + word, return_inverse=True)
+        pair = pair.astype(np.int32)
         r = np.bincount(pair[train], minlength=len(pairs))
         pair_context, pair_word = pairs // len(vocabulary), pairs % len(vocabulary)
         seen = r > 0
@@ -226,15 +229,15 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
             sums = _per_doc(docs[k], share[s], plain[s], known[s].astype(np.int64), *((r[pair[s]] == n + 1).astype(np.int64) for n in range(K)))
             rows.append({"kind": PARTIAL, "bucket": bucket, "peer": peer, "blob": pack(deltas(sums[0].astype(np.uint64)), *sums[1:3], *map(narrow, sums[3:]))})
 
+        del share, plain, known
         missed = np.flatnonzero(~got)
         at_block = np.searchsorted(cuts, missed, side="right") - 1
-        doc = np.concatenate(docs)[missed] if docs else missed
-        for k in np.unique(at_block).tolist():
-            mine = at_block == k
-            hashes, of = vocabulary[word[missed[mine]]], doc[mine]
-            order = np.argsort(hashes, kind="stable")
-            for part, s in _pieces(hashes[order], parts):
-                rows.append({"kind": UNSEEN, "bucket": part, "peer": peers[k], "blob": pack(deltas(hashes[order][s]), narrow(of[order][s]))})
+        doc = np.concatenate(docs)[missed]
+        order = np.argsort(word[missed], kind="stable")  # vocabulary is sorted by hash
+        hashes, of_block, of_doc = vocabulary[word[missed[order]]], narrow(at_block[order]), narrow(doc[order])
+        for part, s in _pieces(hashes, parts):
+            blob = pack(deltas(hashes[s]), of_block[s], of_doc[s], np.array(peers, np.int64))
+            rows.append({"kind": UNSEEN, "bucket": part, "peer": bucket, "blob": blob})
 
         # contexts of this bucket by number: those that are spread, then the others
         mine = np.flatnonzero(np.bincount(context, minlength=len(vocabulary)) > 0)
@@ -249,7 +252,7 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
             "blob": pack(*state, np.array(peers, np.int64), narrow(at_block), narrow(doc), narrow(number[context[missed]])),
         })
         chosen = np.flatnonzero(seen)
-        order = chosen[np.argsort(pair_word[chosen], kind="stable")]  # vocabulary is sorted by hash
+        order = chosen[np.argsort(pair_word[chosen], kind="stable")]
         hashes = vocabulary[pair_word[order]]
         for part, s in _pieces(hashes, parts):
             distinct, times = np.unique(hashes[s], return_counts=True)
@@ -278,7 +281,7 @@ def _word_side(p_known: np.ndarray, p_unknown: float, over: float):
                 return np.full(len(asked), p_unknown)
             return np.where((at < len(hashes)) & (hashes[inside] == asked), probability[inside], p_unknown)
 
-        rows = []
+        rows, unseen = [], []
         for kind, peer, blob in zip(*(left.column(c).to_pylist() for c in ("kind", "peer", "blob")), strict=True):
             x = unpack(blob)
             if kind == BIGRAMS:
@@ -292,10 +295,15 @@ def _word_side(p_known: np.ndarray, p_unknown: float, over: float):
                     row |= {"hot": x[4][warm].view(np.int64).tolist(), "hot_stats": mass[warm].tolist()}
                 rows.append(row)
             else:
-                doc = x[1].astype(np.int64)
-                order = np.argsort(doc, kind="stable")
-                sums = _per_doc(doc[order], np.log10(p(undelta(x[0])))[order])
-                rows.append({"kind": UNSEEN, "peer": peer, "blob": pack(deltas(sums[0].astype(np.uint64)), sums[1])})
+                unseen.append((x[3][x[1]], x[2].astype(np.int64), np.log10(p(undelta(x[0])))))
+        if unseen:
+            block, doc, logs = (np.concatenate(c) for c in zip(*unseen, strict=True))
+            order = np.lexsort((doc, block))
+            block, doc, logs = block[order], doc[order], logs[order]
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                sums = _per_doc(doc[a:b], logs[a:b])
+                rows.append({"kind": UNSEEN, "peer": int(block[a]), "blob": pack(deltas(sums[0].astype(np.uint64)), sums[1])})
         return _table(_MIXED_TYPES, rows)
 
     return look
