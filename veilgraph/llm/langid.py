@@ -12,13 +12,15 @@ one long contiguous row and one step of many windows is a few array calls.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import LOWER, raw_text, text_blocks
@@ -210,16 +212,20 @@ def label_positions(net: Network, text: str) -> list[tuple[str, float]]:
 
 
 def sample_windows(labelled: DataFrame, docs_per_language: int, windows_per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages, windows, their lengths and labels from at most
+    """Languages, windows, their lengths and labels from some
     docs_per_language rows (doc_id, text, lang) of each language, those with
     the smallest hashes of id and text."""
-    key = F.xxhash64("doc_id", "text")
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(key, "text"))
-    rows = labelled.where("lang is not null and trim(text) <> ''").withColumn("turn", turn).where(F.col("turn") <= docs_per_language)
+    rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text", "doc_id", F.xxhash64("doc_id", "text").alias("key"))
+    # hashes are even, so a cut-off at the wanted share of their range bounds the sample without ordering any rows
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    cut_off = lambda n: min((1 << 63) - 1, -(1 << 63) + int(docs_per_language / n * (1 << 64)))
+    within = [(F.col("lang") == name) & (F.col("key") <= cut_off(n)) for name, n in sizes.items()]
+    rows = rows.where(functools.reduce(operator.or_, within, F.lit(False)))
     last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     cut = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("doc_id"), k), last) + 1).cast("int"), F.lit(WINDOW))
-    rows = rows.select("lang", "turn", F.explode(F.transform(F.sequence(F.lit(1), F.lit(windows_per_doc)), cut)).alias("cut"))
-    found = sorted(map(tuple, rows.select("lang", "turn", "cut").collect()))
+    rows = rows.select("lang", "key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(windows_per_doc)), cut)).alias("cut"))
+    bound = 2 * docs_per_language * windows_per_doc * max(len(sizes), 1)  # reached only if many rows share id and text
+    found = sorted(map(tuple, rows.select("lang", "key", "cut").limit(bound).collect()))
     languages = sorted({x[0] for x in found})
     raws = [x[2].encode()[:WINDOW].translate(LOWER) for x in found]
     windows = np.frombuffer(b"".join(r.ljust(WINDOW, b"\0") for r in raws), np.uint8).reshape(-1, WINDOW)
