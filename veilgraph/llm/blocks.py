@@ -89,6 +89,12 @@ def hash128(dictionary: pa.Array) -> np.ndarray:
     return np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2)
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting, which suits integers best."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string.  Bytes of equal weight stand together,
     which suits sorted or small numbers."""
@@ -110,7 +116,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
         at += 10
     for kind, n in kinds:
         planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        out.append(np.array(planes.T, order="C").view(kind).reshape(n))
         at += n * kind.itemsize
     return out
 
