@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import LOWER, split_words, text_blocks
@@ -193,13 +193,12 @@ def keep_one(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42
     own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     found = near_duplicates(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col, tag=own)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = found.groupBy("root").agg(F.min(order).alias("x"))
-    again = found.groupBy("root", "doc_id", "tag").agg(F.count("*").alias("times")).select(F.col("root").alias("r"), F.col("doc_id").alias("d"), F.col("tag").alias("t"), "times")
-    first = first.join(again, (F.col("root") == F.col("r")) & F.col("x.doc_id").eqNullSafe(F.col("d")) & (F.col("x.tag") == F.col("t")))
-    first = staged(first.select(F.col("t").alias("_simhash_tag"), "times"), "simhash-first")
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.tag").alias("_simhash_tag")).distinct()
+    # as many rows stay as there are groups, so this is a merge join at any size; the window below reuses its layout
     tagged = docs.withColumn("_simhash_own", own)
-    pick = lambda kept: tagged.join(kept, tagged["_simhash_own"] == kept["_simhash_tag"], "left_semi").drop("_simhash_own")
-    return pick(first.where("times = 1")).unionByName(pick(first.where("times > 1")).dropDuplicates())
+    kept = tagged.join(staged(first, "simhash-first").hint("merge"), F.col("_simhash_own") == F.col("_simhash_tag"), "left_semi")
+    turn = F.row_number().over(Window.partitionBy("_simhash_own").orderBy("_simhash_own"))
+    return kept.withColumn("_simhash_turn", turn).where("_simhash_turn = 1").select(*[kept[f"`{c}`"] for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
