@@ -46,6 +46,6 @@ def geometric(scale: Column | float, u: Column) -> Column:
     b = scale if isinstance(scale, Column) else F.lit(float(scale))
     a = F.exp(-1 / b)
     below = u * (1 + a)
-    left = F.floor(F.log(below) / F.log(a) * -1)  # inverse of the lower tail
+    left = -F.floor(F.log(below) / F.log(a))  # inverse of the lower tail
     right = F.ceil(F.log((1 - u) * (1 + a)) / F.log(a)) - 1
     return F.when(u <= a / (1 + a), left).otherwise(F.greatest(right, F.lit(0))).cast("long")

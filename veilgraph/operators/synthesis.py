@@ -164,9 +164,14 @@ def accept_new(samples: DataFrame, existing: DataFrame) -> DataFrame:
     return fresh.withColumn("turn", within).where(F.col("turn") <= F.col("want")).select("src", "dst")
 
 
-#: Draws for a target: within a community, and between two (fixed values).
-_INTRA_DRAWS = F.least(F.floor(1.5 * F.col("want")) + 10, F.col("na") * (F.col("na") - 1))
-_INTER_DRAWS = F.least(F.floor(1.3 * F.col("want")) + 5, F.col("na") * F.col("nb"))
+def _intra_draws() -> Column:
+    """Draws for a target within a community (fixed values)."""
+    return F.least(F.floor(1.5 * F.col("want")) + 10, F.col("na") * (F.col("na") - 1))
+
+
+def _inter_draws() -> Column:
+    """Draws for a target between two communities (fixed values)."""
+    return F.least(F.floor(1.3 * F.col("want")) + 5, F.col("na") * F.col("nb"))
 
 
 def _safe_weight() -> Column:
@@ -187,7 +192,7 @@ def convert_oversample(release: Release, seed: int, convert_ratio: float = 0.9,
 def _collision_free(release: Release, seed: int, n_intra: Column, n_inter: Column, repair: bool) -> DataFrame:
     d = release.degrees
     base = staged(chung_lu(d, seed), "chung-lu")
-    draws = F.when(F.col("part") < 2, _INTRA_DRAWS).otherwise(_INTER_DRAWS)
+    draws = F.when(F.col("part") < 2, _intra_draws()).otherwise(_inter_draws())
     samples = _samples(_targets(release.edge_counts, n_intra, n_inter), d, staged(slots(d, _safe_weight()), "slots"), draws, seed, "free")
     edges = base.unionByName(accept_new(samples, base))
     return repair_degrees(edges, d, seed, 0.3) if repair else edges
@@ -233,7 +238,7 @@ def v2(release: Release, seed: int, convert_ratio: float = 0.85, repair: bool =
     # weights in tenths, as a vertex without budget keeps a tenth
     table = staged(slots(rows, F.greatest(10 * F.col("inter"), F.lit(1))), "slots")
     targets = _targets(release.edge_counts, F.lit(0), F.floor(F.col("ev") * (1 - convert_ratio) + 1e-9))
-    edges = base.unionByName(accept_new(_samples(targets, d, table, _INTER_DRAWS, seed, "v2"), base))
+    edges = base.unionByName(accept_new(_samples(targets, d, table, _inter_draws(), seed, "v2"), base))
     wanted = rows.select("com", "vid", (F.col("target") + F.col("convert") + F.col("inter")).alias("target"))
     return repair_degrees(edges, wanted, seed, 0.2) if repair else edges
 
@@ -247,7 +252,7 @@ def v4(release: Release, seed: int, convert_ratio: float = 0.9) -> DataFrame:
     left = d.join(have, F.col("vid") == F.col("src"), "left").select("com", "vid", "target", (F.col("target") - F.coalesce("have", F.lit(0))).alias("left"))
     table = staged(slots(left, F.greatest(10 * F.col("left"), F.lit(1))), "slots")
     n = F.floor(F.col("ev") * convert_ratio)
-    draws = F.when(F.col("part") < 2, _INTRA_DRAWS).otherwise(_INTER_DRAWS)
+    draws = F.when(F.col("part") < 2, _intra_draws()).otherwise(_inter_draws())
     samples = _samples(_targets(release.edge_counts, n, F.col("ev") - n), d, table, draws, seed, "v4")
     return base.unionByName(accept_new(samples, base))
 

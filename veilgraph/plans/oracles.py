@@ -199,7 +199,7 @@ SELECT round(2 * (SELECT sum(n / t * ln(n * t / (na * nb))) FROM c JOIN x USING
     "q_rank_all": part("SELECT vid, deg, row_number() OVER (ORDER BY deg DESC, vid) - 1 AS rank FROM dg"),
     "q_noise": f"""WITH d AS (SELECT id, {u('noise', 'id')} AS u FROM range(2000) t(id))
 SELECT id, round(u, 6) AS u, round({lap('2.0', 'u')}, 6) AS laplace, round({gumbel('u')}, 6) AS gumbel,
-  CASE WHEN u <= {_A} / (1 + {_A}) THEN floor(-ln(u * (1 + {_A})) / ln({_A})) ELSE greatest(ceil(ln((1 - u) * (1 + {_A})) / ln({_A})) - 1, 0) END::BIGINT AS geometric FROM d""",
+  CASE WHEN u <= {_A} / (1 + {_A}) THEN -floor(ln(u * (1 + {_A})) / ln({_A})) ELSE greatest(ceil(ln((1 - u) * (1 + {_A})) / ln({_A})) - 1, 0) END::BIGINT AS geometric FROM d""",
     "q_laplace_degree": part(f"SELECT vid, deg, round(deg + {lap(str(2 / EPSILON), u('degree', 'vid'))}, 6) AS noisy FROM dg"),
     "q_norm_sub": small(f"n0 AS (SELECT vid, round(deg + {lap('20.0', u('degree', 'vid'))}, 6) - 15 AS noisy, com FROM dg JOIN p USING (vid)), {norm_sub('ns', 'n0', 'com', 'noisy')} SELECT com, vid, round(noisy, 6) AS noisy, fit FROM ns"),
     "q_noisy_edge_matrix": part(f"{edge_vector(EPSILON / 20)} SELECT ci, cj, raw, round(noisy, 6) AS noisy, ev FROM ev"),
