@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgraph.llm.blocks import ALNUM, encode, split_words, text_blocks
+from veilgraph.llm.blocks import ALNUM, distinct, encode, split_words, text_blocks
 from veilgraph.llm.textops import without
 
 #: Hashed features: 2 to this power.
@@ -52,14 +52,14 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     raw_codes, raw_dictionary = encode(raw)
     by_tail = _hash_features(b"t", [w[-TAIL:] for w in raw_dictionary.to_pylist()]).astype(np.int64)
     raw_of = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(raw_at))
-    once = lambda doc, code, n: np.unique(doc * max(n, 1) + code)
+    once = lambda doc, code, n: distinct(doc * max(n, 1) + code)
     words_once = once(of, codes.astype(np.int64), len(plain))
     tails, tail_codes = np.unique(by_tail, return_inverse=True)
     tails_once = once(raw_of, tail_codes[raw_codes], len(tails))
     doc, code = words_once // max(len(plain), 1), words_once % max(len(plain), 1)
     tail_doc, tail = tails_once // max(len(tails), 1), tails_once % max(len(tails), 1)
     keys = np.concatenate([(doc << BITS) | by_word[code], (doc << BITS) | by_head[code], (tail_doc << BITS) | tails[tail]]) if len(texts) else np.zeros(0, np.int64)
-    keys = np.unique(keys)
+    keys = distinct(keys)
     return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
@@ -119,18 +119,19 @@ def sample_rated(rated: DataFrame, grades: int, limit: int) -> tuple[np.ndarray,
     rows = rated.where(F.col("grade").between(0, grades - 1)).select("text", F.col("grade").cast("int").alias("grade"), F.xxhash64("doc_id", "text").alias("key"))
     n = rows.count()
     cut_off = min((1 << 63) - 1, -(1 << 63) + int(limit / max(n, 1) * (1 << 64)))  # hashes are even
-    rows = rows.where(F.col("key") <= cut_off).limit(2 * limit)  # the limit is met only if many rows share id and text
+    rows = rows.where(F.col("key") <= cut_off).dropDuplicates(["key"])  # rows that share id and text would share a hash
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
             doc, feature = features(block.column("text"))
             at = np.searchsorted(doc, np.arange(block.num_rows + 1))
-            lists = [np.sort(feature[a:b])[:FEATURES_EACH].tolist() for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("grade"), pa.array(lists, pa.list_(pa.int32()))], ["key", "grade", "features"])
+            packed = [feature[a:b][:FEATURES_EACH].astype(np.int32).tobytes() for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([block.column("key"), block.column("grade"), pa.array(packed, pa.binary())], ["key", "grade", "features"])
 
-    found = sorted((r.key, r.grade, r.features) for r in rows.mapInArrow(per_block, "key long, grade int, features array<int>").toLocalIterator())
-    doc = np.repeat(np.arange(len(found)), [len(x[2]) for x in found]).astype(np.int64)
-    return doc, np.array([f for x in found for f in x[2]], np.int64), np.array([x[1] for x in found], np.int64)
+    found = sorted(map(tuple, rows.mapInArrow(per_block, "key long, grade int, features binary").collect()))
+    lists = [np.frombuffer(x[2], np.int32) for x in found]
+    doc = np.repeat(np.arange(len(found)), list(map(len, lists))).astype(np.int64)
+    return doc, np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64), np.array([x[1] for x in found], np.int64)
 
 
 def fit(rated: DataFrame, grades: int = 3, limit: int = SAMPLE) -> Model | None:
@@ -140,7 +141,7 @@ def fit(rated: DataFrame, grades: int = 3, limit: int = SAMPLE) -> Model | None:
     return train(doc, feature, grade, grades) if len(grade) else None
 
 
-def grade_documents(docs: DataFrame, model: Model | None, *, text_col: str = "text", select_tail: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, model: Model | None, *, text_col: str = "text", select_tail: float = 0.1) -> DataFrame:
     """Every row of docs with expected_grade, p_low (the probability of the
     lowest grade), p_top (that of the highest), grade (the median grade) and
     selected (the lowest grade is less likely than select_tail).
