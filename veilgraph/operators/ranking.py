@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import shuffle_width, staged
+from veilgraph.plans.staging import staged
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -16,7 +16,7 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     of the ranges before.  Only the ranges, as many as partitions, are ever
     ordered in one task.
     """
-    parts = df.repartitionByRange(shuffle_width(df), *order).withColumn("_part", F.spark_partition_id())
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     parts = staged(parts, "ranked")
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -66,8 +66,12 @@ def drop_staged(spark: SparkSession) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of df, from file sizes: costs no scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of the tables that df reads, by the optimizer's figures for its
+    leaves: costs no scan. (Its figure for df itself multiplies the sizes of
+    joined tables.) A leaf of unknown size counts as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.length()))
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def shuffle_width(df: DataFrame, bytes_per_part: int = 16 << 20, ratio: float = 1.0) -> int:
