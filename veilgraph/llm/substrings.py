@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     source = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), long.alias("long"))
     source = source.select("doc_id", "text", F.when(F.col("long"), -F.col("rid") - 1).otherwise(F.shiftright("rid", CHUNK_ROWS.bit_length() - 1)).alias("chunk"))
     parts = 2 * shuffle_width(docs)
-    bits = min(60, max(20, (2 * input_bytes(docs)).bit_length()))  # some eight cells a window
+    bits = min(60, max(20, input_bytes(docs).bit_length()))  # some four cells a window
     cell_edges = np.append(_edges(parts, bits), np.uint64(1 << bits))
     key_edges = _edges(parts, 64)
 
