@@ -142,3 +142,17 @@ def test_one_community_has_no_pairs(spark):
 def test_tables(spark):
     assert experiment.budget_grid(spark).count() == 36
     assert experiment.sweep(a=[1, 2], b=["x"]) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
+
+
+def test_sweeps(spark):
+    pairs = [(a, b) for a in range(24) for b in range(a + 1, 24) if a // 8 == b // 8 or (a + b) % 11 == 0]
+    graph = G.Graph(spark.range(24).withColumnRenamed("id", "vid"), spark.createDataFrame(pairs, "src long, dst long"))
+    runs = experiment.vary_group_size(spark, graph, 1, [4], epsilon=20.0)
+    row = runs.first()
+    assert (row.eps, row.group_size, row.method, row.error) == (20.0, 4.0, "original", None)
+    assert 0 <= row.nmi <= 1 and row.deg_kl >= 0 and row.evc_overlap is None  # less than a hundred vertices: no top hundredth
+    bad = experiment.compare_methods(spark, graph, 1, ["none"], [20.0]).first()
+    assert bad.error and bad.nmi is None
+    assert "all_nmi=" in experiment.report(runs, ["eps"])
+    auto = experiment.publish(graph, 5.0, 1, group_size=4, method="original", auto=True, exact=True)
+    assert auto.edges.count() > 0

@@ -91,21 +91,26 @@ def diameter_bound(graph: Graph) -> int:
     return bfs_levels(graph, far).agg(F.max("depth")).first()[0] or 0
 
 
+#: Iterations between two looks at convergence.
+CHECK_EVERY = 5
+
+
 def eigenvector_centrality(graph: Graph, iterations: int | None = None, tolerance: float = 1e-6, max_iterations: int = 10_000) -> DataFrame:
     """(vid, evc): power iteration with the graph plus one loop on every
     vertex, from equal values, scaled to unit length.
 
-    With iterations, exactly that many; else until the values' sum of
-    absolute changes is below tolerance times the vertices, an error if it
-    never is.  Scaling commutes with the iteration, so fixed steps scale once.
+    With iterations, exactly that many; else until one iteration changes the
+    values by less than tolerance times the vertices in sum, looked at every
+    CHECK_EVERY iterations, an error if it never does.  Scaling commutes with
+    the iteration, so it is done as rarely.
     """
-    paths = staged(both_ways(graph.edges), "evc-edges")
+    loops = graph.vertices.select(F.col("vid").alias("src"), F.col("vid").alias("dst"))
+    paths = staged(both_ways(graph.edges.select("src", "dst")).unionByName(loops), "evc-edges")
     n = graph.vertices.count()
     now = graph.vertices.withColumn("x", F.lit(1.0 / max(n, 1)))
 
     def step(x: DataFrame) -> DataFrame:
-        came = paths.join(x, paths["src"] == x["vid"]).groupBy("dst").agg(F.sum("x").alias("add"))
-        return x.join(came, x["vid"] == came["dst"], "left").select("vid", (F.col("x") + F.coalesce("add", F.lit(0.0))).alias("x"))
+        return paths.join(x, paths["src"] == x["vid"]).groupBy(F.col("dst").alias("vid")).agg(F.sum("x").alias("x"))
 
     def scaled(x: DataFrame, name: str) -> DataFrame:
         norm = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0] or 1.0
@@ -117,10 +122,18 @@ def eigenvector_centrality(graph: Graph, iterations: int | None = None, toleranc
             if k % 3 == 2:
                 now = staged(now, "evc")
         return scaled(staged(now, "evc"), "evc")
-    for _ in range(max_iterations):
-        following = staged(scaled(staged(step(now), "evc"), "x"), "evc")
-        change = following.join(now.withColumnRenamed("x", "was"), "vid").agg(F.sum(F.abs(F.col("x") - F.col("was")))).first()[0] or 0.0
-        now = following
+    for _ in range(0, max_iterations, CHECK_EVERY):
+        before = now
+        for _ in range(CHECK_EVERY - 1):
+            before = step(before)
+        before = staged(before, "evc")
+        pair = step(before).join(before.withColumnRenamed("x", "was"), "vid")
+        pair = staged(pair, "evc")
+        size = pair.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("x"), F.sqrt(F.sum(F.col("was") * F.col("was"))).alias("was")).first()
+        if not size.x:
+            return now.withColumnRenamed("x", "evc")
+        now = pair.select("vid", (F.col("x") / F.lit(size.x)).alias("x"))
+        change = pair.agg(F.sum(F.abs(F.col("x") / F.lit(size.x) - F.col("was") / F.lit(size.was)))).first()[0]
         if change < n * tolerance:
             return now.withColumnRenamed("x", "evc")
     raise ArithmeticError(f"no convergence in {max_iterations} iterations")

@@ -144,3 +144,41 @@ def pivoted(rows: DataFrame, metric: str, index: str = "e1_r", columns: str = "e
     names = [f"c_{round(v * 10)}" for v in values] if values else None
     grouped = named.groupBy(index)
     return (grouped.pivot("_column", names) if names else grouped.pivot("_column")).agg(F.first(metric))
+
+
+#: Values that the sweeps take (fixed values).
+EPSILONS = [0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5]
+GROUP_SIZES = [5, 10, 15, 20, 25, 30, 35]
+RESOLUTIONS = [0.2, 0.5, 0.8, 1.0, 1.2, 1.5]
+
+
+def vary_epsilon(spark: SparkSession, graph: Graph, runs: int = 10, epsilons: list[float] = EPSILONS, **fixed) -> DataFrame:
+    """Runs over the budget; auto=True derives its split."""
+    return run_table(spark, graph, [c | fixed for c in sweep(epsilon=epsilons)], runs)
+
+
+def vary_group_size(spark: SparkSession, graph: Graph, runs: int = 10, sizes: list[int] = GROUP_SIZES, epsilon: float = 2.0, **fixed) -> DataFrame:
+    return run_table(spark, graph, [c | {"method": "original"} | fixed for c in sweep(epsilon=[epsilon], group_size=sizes)], runs)
+
+
+def vary_resolution(spark: SparkSession, graph: Graph, runs: int = 10, resolutions: list[float] = RESOLUTIONS, epsilon: float = 2.0, **fixed) -> DataFrame:
+    return run_table(spark, graph, [c | {"method": "original"} | fixed for c in sweep(epsilon=[epsilon], resolution=resolutions)], runs)
+
+
+def vary_split(spark: SparkSession, graph: Graph, runs: int = 10, epsilon: float = 2.0, **fixed) -> DataFrame:
+    """Runs over the budget grid; the baseline is measured once for all its
+    cells."""
+    cells = [{"epsilon": epsilon, "e1_r": r.e1_r, "e2_r": r.e2_r} for r in budget_grid(spark).collect()]
+    return run_table(spark, graph, [c | {"method": "original"} | fixed for c in cells], runs)
+
+
+def compare_methods(spark: SparkSession, graph: Graph, runs: int = 5, methods: list[str] | None = None, epsilons: list[float] = EPSILONS, **fixed) -> DataFrame:
+    cells = sweep(method=methods or list(synthesis.METHODS), epsilon=epsilons)
+    return run_table(spark, graph, [c | fixed for c in cells], runs)
+
+
+def report(runs: DataFrame, keys: list[str]) -> str:
+    """The means as text, a list per metric."""
+    rows = run_means(runs, keys).orderBy(*keys).collect()
+    lines = [f"{k}: {[r[k] for r in rows]}" for k in keys]
+    return "\n".join([*lines, *(f"all_{m}= {[r[m] for r in rows]}" for m in METRICS)])

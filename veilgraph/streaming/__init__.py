@@ -1 +1,2 @@
-
+"""No operator of this library consumes a stream: graphs and corpora are
+published from complete tables."""
