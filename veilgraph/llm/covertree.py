@@ -34,9 +34,10 @@ from veilgraph.plans.staging import shuffle_width, staged
 #: Numbers in a tile of data and in a block of queries, about (rows times
 #: dimensions), so that either is a few MB at any dimension.
 TILE_NUMBERS, BLOCK_NUMBERS = 1 << 18, 1 << 16
-#: Points that are compared in one block; the fewest that make a child; picks
-#: in a row that cover fewer, after which the rest stays in the bag.
-BAG, LEAST, PATIENCE = 512, 8, 16
+#: Points that are compared in one block; the most that aren't split further;
+#: the fewest that make a child; picks in a row that cover fewer, after which
+#: the rest stays in the bag.
+BAG, LEAF, LEAST, PATIENCE = 512, 16, 4, 16
 _LOW = -np.iinfo(np.int64).max  # its negative is an integer too
 
 
@@ -64,7 +65,7 @@ class Tree:
             members, centre = nodes[at][0], nodes[at][1]
             away = np.sqrt(((points[members] - points[centre]) ** 2).sum(axis=1))
             nodes[at][2] = radius = float(away.max(initial=0.0))
-            if len(members) <= BAG // 8 or not radius:
+            if len(members) <= LEAF or not radius:
                 nodes[at][3] = members
                 at += 1
                 continue

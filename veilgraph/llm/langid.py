@@ -220,12 +220,11 @@ def sample_windows(labelled: DataFrame, docs_per_language: int, windows_per_doc:
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     cut_off = lambda n: min((1 << 63) - 1, -(1 << 63) + int(docs_per_language / n * (1 << 64)))
     within = [(F.col("lang") == name) & (F.col("key") <= cut_off(n)) for name, n in sizes.items()]
-    rows = rows.where(functools.reduce(operator.or_, within, F.lit(False)))
+    rows = rows.where(functools.reduce(operator.or_, within, F.lit(False))).dropDuplicates(["lang", "key"])  # else rows that share id and text would all come
     last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
     cut = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("doc_id"), k), last) + 1).cast("int"), F.lit(WINDOW))
     rows = rows.select("lang", "key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(windows_per_doc)), cut)).alias("cut"))
-    bound = 2 * docs_per_language * windows_per_doc * max(len(sizes), 1)  # reached only if many rows share id and text
-    found = sorted(map(tuple, rows.select("lang", "key", "cut").limit(bound).collect()))
+    found = sorted(map(tuple, rows.select("lang", "key", "cut").collect()))
     languages = sorted({x[0] for x in found})
     raws = [x[2].encode()[:WINDOW].translate(LOWER) for x in found]
     windows = np.frombuffer(b"".join(r.ljust(WINDOW, b"\0") for r in raws), np.uint8).reshape(-1, WINDOW)
