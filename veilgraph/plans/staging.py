@@ -9,8 +9,10 @@ temporary one is made.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,12 +29,6 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows are in the shared folder when it returns."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, name: str = "rows", partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
@@ -56,6 +52,25 @@ def staged(df: DataFrame, name: str = "rows", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def steady_scans(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, tables are split alike in every scan.
+
+    Spark cuts files by the number of cores that it has just now, so a lost
+    executor could shift the rows of a later scan's partitions.  Operators
+    that number rows by partition and read a table more than once pin it.
+    """
+    key = "spark.sql.files.minPartitionNum"
+    own = spark.conf.get(key, None)
+    if own is None:
+        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Deletes the tables staged so far by this driver process."""
     jvm = spark.sparkContext._jvm
