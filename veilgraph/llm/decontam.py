@@ -42,7 +42,6 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     positions, term after term."""
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for block in text_blocks(batches):
             words, at = split_words(block.column("text"), ALNUM)
             codes, terms = encode(words)
@@ -54,10 +53,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             gaps = np.diff(place, prepend=0)
             gaps[np.cumsum(counts)[:-1]] = place[np.cumsum(counts)[:-1]]  # each term's list starts anew
             wide = gaps.astype(np.uint32) if len(gaps) and gaps.max() < 1 << 32 else gaps.astype(np.uint64)
-            values = [[block.column("rid").to_pylist()], [block.column("doc_id").to_pylist()], [lengths.tolist()], [terms.cast(pa.binary()).to_pylist()], [counts.tolist()], [pack(wide)]]
-            kinds = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            schema = schema or ["rids", "ids", "lengths", "terms", "counts", "postings"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], schema)
+            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)  # noqa: E731  a list in one row
+            lists = [block.column("rid"), block.column("doc_id"), pa.array(lengths, pa.int32()), terms.cast(pa.binary()), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*map(one, lists), pa.array([pack(wide)], pa.binary())], ["rids", "ids", "lengths", "terms", "counts", "postings"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return staged(rows.mapInArrow(per_block, _INDEX), "positional-index")
