@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import LOWER, deltas, encode, hash64, narrow, pack, split_words, text_blocks, undelta, unpack
-from veilgraph.plans.staging import shuffle_width, staged
+from veilgraph.plans.staging import shuffle_width, staged, steady_scans
 
 #: Counts up to K are discounted.
 K = 5
@@ -361,7 +361,11 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     three times and must give the same rows in the same partitions (a stored
     table does).
     """
-    spark = docs.sparkSession
+    with steady_scans(docs.sparkSession):
+        return _scores(docs, id_col, text_col, held_col)
+
+
+def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(held_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     parts = shuffle_width(docs)
     unigrams = rows.mapInArrow(_unigram_parts(parts), "bucket int, blob binary").groupBy("bucket").applyInArrow(_merge_unigrams, _UNIGRAMS)
@@ -412,7 +416,7 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     logs = np.log10(np.array(d2))
     log_over = np.log10(total + 0.1 * (vocabulary + 1))
     parts_of = (
-        rows.mapInArrow(headers, "kind int, peer long, blob binary")
+        staged(rows.mapInArrow(headers, "kind int, peer long, blob binary"), "katz-documents")
         .unionByName(counted.where(F.col("kind") == PARTIAL).select("kind", "peer", "blob"))
         .unionByName(words.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
         .unionByName(weighed.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
