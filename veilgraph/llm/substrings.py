@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import deltas, encode, hash128, narrow, pack, split_words, undelta, unpack
-from veilgraph.plans.staging import input_bytes, shuffle_width, staged
+from veilgraph.plans.staging import input_bytes, shuffle_width, staged, steady_scans
 
 #: Documents in a chunk; a text of LONG bytes or more is a chunk of its own.
 CHUNK_ROWS, LONG = 2048, 64 << 10
@@ -277,7 +277,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
         return pa.table({name: pa.array(out[name], kind) for name, kind in zip(empty, kinds, strict=True)})
 
     state = source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(suspects, _STATE)
-    state = staged(state, "substring-state", partition_by=["kind"])
+    with steady_scans(docs.sparkSession):
+        state = staged(state, "substring-state", partition_by=["kind"])
     least = state.where("kind = 1").select("bucket", "chunk", "blob").groupBy("bucket").applyInArrow(_least_ids, _REQUEST)
 
     def strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
