@@ -167,3 +167,11 @@ def test_tables(spark, tmp_path):
     assert rows(R.read_runs(spark, str(tmp_path / "set_eps2_5"))) == rows(df)
     (tmp_path / "log.txt").write_text("-epsilon=1,e1_r=.1,e2_r=.2,exper=1/5-\ndataset: a\nall_nmi_arr= [0.5]\nAll time: 1s\n")
     assert [(r.dataset, r.epsilon, r.nmi) for r in R.read_log(spark, str(tmp_path / "log.txt")).collect()] == [("a", 1.0, 0.5)]
+
+
+def test_running_total(spark):
+    from veilgraph.operators.ranking import running_total
+
+    df = spark.createDataFrame([(k % 2, k * 3, k) for k in range(50)], "g int, at long, n int").repartition(4)
+    got = {(r.g, r.at): r.sum for r in running_total(df, ["g"], "at", F.col("n"), "sum", bits=4).collect()}
+    assert got == {(k % 2, k * 3): sum(j for j in range(k + 1) if j % 2 == k % 2) for k in range(50)}

@@ -142,10 +142,8 @@ def eigenvector_centrality(graph: Graph, iterations: int | None = None, toleranc
 def top_share(df: DataFrame, score: str, share: float = 0.01, key: str = "vid") -> DataFrame:
     """The floor(share * n) rows of largest score, ties to the smaller key,
     with their rank from 1."""
-    n = df.count()
-    k = int(share * n)
-    rows = df.orderBy(F.desc(score), key).limit(k)
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), key)))
+    k = int(share * df.count())
+    return ranked(df, F.desc(score), F.col(key)).where(F.col("rank") < k).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def top_k(df: DataFrame, score: str, k: int, key: str = "vid") -> DataFrame:
@@ -156,8 +154,8 @@ def top_k(df: DataFrame, score: str, k: int, key: str = "vid") -> DataFrame:
 def kl_divergence(p: DataFrame, q: DataFrame, bin_col: str = "deg", count_col: str = "n") -> DataFrame:
     """One row, kl: divergence of two histograms after each is scaled to sum
     1, missing bins 0, a double's epsilon added above and below."""
-    a = p.select(F.col(bin_col).alias("bin"), (F.col(count_col) / F.sum(count_col).over(Window.partitionBy(F.lit(0)))).alias("p"))
-    b = q.select(F.col(bin_col).alias("bin_q"), (F.col(count_col) / F.sum(count_col).over(Window.partitionBy(F.lit(0)))).alias("q"))
+    scaled = lambda h, name, to: h.crossJoin(h.agg(F.sum(count_col).alias("_all"))).select(F.col(bin_col).alias(to), (F.col(count_col) / F.col("_all")).alias(name))
+    a, b = scaled(p, "p", "bin"), scaled(q, "q", "bin_q")
     both = a.join(b, F.col("bin") == F.col("bin_q"), "full_outer").select(F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
     eps = F.lit(DOUBLE_EPS)
     return both.agg(F.sum(F.col("p") * F.log((F.col("p") + eps) / (F.col("q") + eps))).alias("kl"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from veilgraph.functions.noise import key_bits, uniform
 from veilgraph.operators.graph import both_ways, canonical, edge_communities
 from veilgraph.operators.louvain import draw
+from veilgraph.operators.ranking import running_total
 from veilgraph.plans.staging import staged
 
 
@@ -92,8 +93,7 @@ def slots(degrees: DataFrame, weight: Column) -> DataFrame:
     equi-join on a uniform slot, and the table is as large as the weights'
     sum: of the order of the edges."""
     rows = degrees.select("com", "vid", weight.cast("long").alias("w")).where("w > 0")
-    upto = F.sum("w").over(Window.partitionBy("com").orderBy("vid"))
-    return rows.withColumn("upto", upto).select("com", "vid", F.explode(F.sequence(F.col("upto") - F.col("w"), F.col("upto") - 1)).alias("slot"))
+    return running_total(rows, ["com"], "vid", F.col("w"), "upto").select("com", "vid", F.explode(F.sequence(F.col("upto") - F.col("w"), F.col("upto") - 1)).alias("slot"))
 
 
 def pick(requests: DataFrame, table: DataFrame, com: str, u: Column, out: str) -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 import sys
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.operators.graph import Graph, load, multiplicity, original_ids
@@ -84,7 +84,7 @@ def read_binary(spark: SparkSession, path: str) -> Graph:
 def csr_arcs(cumulative: DataFrame, links: DataFrame) -> DataFrame:
     """(src, dst) from (idx, cum), running totals of degrees, and (pos, dst),
     neighbours in order: the relational form of the decoding."""
-    before = F.lag("cum", 1, 0).over(Window.orderBy("idx"))
-    spans = cumulative.withColumn("first", before).where("cum > first")
+    before = cumulative.select((F.col("idx") + 1).alias("idx"), F.col("cum").alias("last"))
+    spans = cumulative.join(before, "idx", "left").withColumn("first", F.coalesce("last", F.lit(0))).where("cum > first")
     at = spans.select(F.col("idx").alias("src"), F.explode(F.sequence(F.col("first"), F.col("cum") - 1)).alias("pos"))
     return at.join(links, "pos").select("src", "dst")
