@@ -123,7 +123,7 @@ def test_chung_lu_sparse_has_the_expected_degrees(spark):
 def test_weighted_samples(spark):
     rows = spark.createDataFrame([("g", v, float(v)) for v in range(1, 5)], "g string, vid long, w double")
     counts = Counter()
-    for seed in range(4):
+    for seed in range(16):
         counts.update(r.vid for r in synthesis.sample_without_replacement(rows, ["g"], "w", F.lit(1), seed, "t").collect())
     assert counts[4] > counts[1]
     part = spark.createDataFrame([(0, 1, 3), (0, 2, 1)], "com long, vid long, target long")

@@ -565,7 +565,7 @@ dataset: early
 all_nmi_arr= [0.9]
 All time: 1s
 ----------epsilon=2.0,e1_r=0.1,e2_r=0.2,exper=1/5----------
-dataset: Chamelon
+dataset: one
 epsilon= 2.0
 all_nmi_arr= [0.41, 0.42]
 all_evc_overlap= [0.21]
@@ -576,14 +576,14 @@ all_cc_rel= [0.11]
 all_mod_rel= [0.3]
 All time: 10.1s
 ----------epsilon=3.0,e1_r=0.3,e2_r=0.4,exper=2/5----------
-dataset: Facebook
+dataset: two
 epsilon= 3.5
 all_nmi_arr= [5e-1]
 all_cc_rel= [np.float64(0.25)]
 noise between
 All time: 9s
 all_mod_rel= [0.7]
-dataset: Enron
+dataset: three
 all_nmi_arr= [0.6]
 All time: 8s
 dataset: lost

@@ -241,6 +241,6 @@ nm AS (SELECT *, count(*) OVER (PARTITION BY i, j) AS cnt, row_number() OVER (PA
     "q_summary": f"WITH {_RUNS}, m AS (SELECT method, eps, {', '.join(f'avg({m}) AS {m}' for m in METRICS)} FROM runs GROUP BY 1, 2) SELECT method, {', '.join(f'round(avg({m}), 6) AS avg_{m}' for m in METRICS)} FROM m GROUP BY 1",
     "q_dedupe_keep_last": f"WITH {_GRID} SELECT seq, e1_r, e2_r, nmi FROM la",
     "q_pivot": f"WITH {_GRID} SELECT e1_r, {', '.join(f'max(nmi) FILTER (round(e2_r * 10) = {k}) AS c_{k}' for k in range(1, 9))} FROM la GROUP BY e1_r",
-    "q_log_parse": "SELECT * FROM (VALUES ('Chamelon', 2.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.41::DOUBLE, 0.21::DOUBLE, 0.101::DOUBLE, 0.55::DOUBLE, 0.2::DOUBLE, 0.11::DOUBLE, 0.3::DOUBLE), ('Facebook', 3.5, 0.3, 0.4, 0.5, NULL, NULL, NULL, NULL, NULL, NULL), ('Enron', 3.0, 0.3, 0.4, 0.6, NULL, NULL, NULL, NULL, NULL, NULL)) t(dataset, epsilon, e1_r, e2_r, nmi, evc_overlap, \"evc_MAE\", deg_kl, diam_rel, cc_rel, mod_rel)",
+    "q_log_parse": "SELECT * FROM (VALUES ('one', 2.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.41::DOUBLE, 0.21::DOUBLE, 0.101::DOUBLE, 0.55::DOUBLE, 0.2::DOUBLE, 0.11::DOUBLE, 0.3::DOUBLE), ('two', 3.5, 0.3, 0.4, 0.5, NULL, NULL, NULL, NULL, NULL, NULL), ('three', 3.0, 0.3, 0.4, 0.6, NULL, NULL, NULL, NULL, NULL, NULL)) t(dataset, epsilon, e1_r, e2_r, nmi, evc_overlap, \"evc_MAE\", deg_kl, diam_rel, cc_rel, mod_rel)",
     "q_compound_interest": "SELECT c_custkey, round(c_acctbal * pow(1.03::DOUBLE, 5), 6) AS value FROM customer",
 }
