@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm import decontam, langid, mixing, sharding, simhash
 from veilgraph.plans.staging import staged
+from veilgraph.plans.workers import reaching
 
 #: A text whose languages are as good as equally likely is in none of them.
 LEAST_SCORE = 0.3
 SOURCE_WEIGHTS, MIX_RATIO, MAX_EPOCHS = [5.0, 2.0, 1.0], 1.5, 2.0
 
 
+@reaching
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no learned language."""
     net = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
@@ -26,11 +28,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(sure).select(*docs.columns)
 
 
+@reaching
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest doc_id."""
     return simhash.keep_one(docs, radius=2)
 
 
+@reaching
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more are benchmark passages go."""
     own = F.xxhash64("doc_id", "text")
@@ -40,12 +44,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return tagged.join(bad, tagged["_tag"] == bad["_own"], "left_anti").select(*docs.columns)
 
 
+@reaching
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target wants them."""
     mixed = mixing.mix_sources(docs, SOURCE_WEIGHTS, total_ratio=MIX_RATIO, max_epochs=MAX_EPOCHS, seed=mixing.SEED)
     return mixing.materialize(mixed).select(*docs.columns)
 
 
+@reaching
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's slot and shard."""
     return sharding.assign_shards(docs, sharding.NAMES, seed=sharding.SEED)
