@@ -1,0 +1,60 @@
+"""The queries that have SQL over G_small only, over all ids: against that SQL
+without its bound, on a small fixture with ids beyond it."""
+
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from veilgraph.operators import graph as G
+from veilgraph.operators import metrics
+from veilgraph.plans import catalogue
+from veilgraph.plans.oracles import ORACLES
+
+from .test_queries import table
+
+BOUNDS = [f" AND u <= {catalogue.SMALL} AND v <= {catalogue.SMALL}", f" WHERE p_partkey <= {catalogue.SMALL}"]
+CHECKED = sorted(name for name in ORACLES if BOUNDS[0] in ORACLES[name])
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """420 parts of five brands; orders of up to four of them."""
+    d, dice = tmp_path_factory.mktemp("whole"), random.Random(5)
+    lines = [(o, dice.randint(1, 420), k) for o in range(380) for k in range(dice.randint(1, 4))]
+    parts = [(v, f"Brand#{dice.randint(11, 15)}") for v in range(1, 421)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").coalesce(1).write.parquet(f"{d}/part.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_whole_against_sql(spark, folder, name):
+    db = duckdb.connect()
+    for t in ("lineitem", "part"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    sql = ORACLES[name].replace(BOUNDS[0], "").replace(BOUNDS[1], "").replace("depth < 12", "depth < 30").replace("depth < 8", "depth < 30")
+    got = catalogue.Q[f"{name}_whole"](spark, folder)
+    found = db.execute(sql)
+    columns = [c[0] for c in found.description]
+    assert table(got.columns, got.collect()) == table(columns, found.fetchall())
+
+
+@pytest.mark.parametrize("name", ["q_em_exact", "q_louvain", "q_init_random", "q_init_degree", "q_init_neighbor"])
+def test_every_vertex(spark, folder, name):
+    assert sorted(r.vid for r in catalogue.Q[name](spark, folder).collect()) == list(range(1, 421))
+
+
+@pytest.mark.parametrize("name", ["q_chung_lu_sparse", "q_synth_v2", "q_synth_v4", "q_degree_repair", "q_repair_rounds", "q_prune", "q_edge_swap", "q_publish"])
+def test_edges_beyond_bound(spark, folder, name):
+    assert catalogue.Q[name](spark, folder).agg(F.max("dst")).first()[0] > catalogue.SMALL
+
+
+def test_diameter_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "SOURCES", 64)
+    monkeypatch.setattr(metrics, "ARCS", 7)
+    dice = random.Random(3)
+    edges = sorted({(min(e), max(e)) for _ in range(240) if len(e := {dice.randrange(200), dice.randrange(200)}) == 2})
+    graph = G.Graph(spark.range(200).withColumnRenamed("id", "vid"), spark.createDataFrame(edges, "src long, dst long"))
+    assert metrics.diameter(graph).first()[0] == metrics.bfs_levels(graph).agg(F.max("depth")).first()[0]

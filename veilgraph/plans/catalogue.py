@@ -3,19 +3,23 @@
 The star-schema tables hold no graph; the queries derive one: parts that
 share an order are joined (G_part), its part with both ids up to 300 is
 G_small, and the parts' brand, type and size are public partitions.
+
+Queries work on G_part.  Where the SQL is too slow for that, q_x is the one
+over G_small, which has the SQL, and q_x_whole is the same over G_part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.functions import scalars
 from veilgraph.functions.noise import geometric, gumbel, laplace, uniform
 from veilgraph.operators import graph as G
 from veilgraph.operators import influence, louvain, mechanisms, metrics, synthesis
+from veilgraph.operators.ranking import ranked, running_total
 from veilgraph.plans import experiment
 from veilgraph.plans.staging import staged
 from veilgraph.sources import edges as edge_sources
@@ -43,24 +47,26 @@ def part_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     return G.Graph(vertices, G.canonical(listed_pairs(spark, sf_dir)))
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
+def stored_graph(spark: SparkSession, sf_dir: str, bound: int | None = None) -> G.Graph:
+    """G_part with its edges staged, or its part with ids up to bound."""
     g = part_graph(spark, sf_dir)
-    low = (F.col("src") <= SMALL) & (F.col("dst") <= SMALL)
-    return G.Graph(g.vertices.where(F.col("vid") <= SMALL), staged(g.edges.where(low), "small"))
+    if bound is not None:
+        g = G.Graph(g.vertices.where(F.col("vid") <= bound), g.edges.where((F.col("src") <= bound) & (F.col("dst") <= bound)))
+    return G.Graph(g.vertices, staged(g.edges, "graph"))
 
 
-def brands(spark: SparkSession, sf_dir: str, small: bool = False) -> DataFrame:
+def brands(spark: SparkSession, sf_dir: str, bound: int | None = None) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     rows = parts.select(F.col("p_partkey").alias("vid"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("com"))
-    return rows.where(F.col("vid") <= SMALL) if small else rows
+    return rows if bound is None else rows.where(F.col("vid") <= bound)
 
 
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def small_release(spark: SparkSession, sf_dir: str) -> synthesis.Release:
-    return experiment.release(small_graph(spark, sf_dir), brands(spark, sf_dir, True), EPSILON, SEED)
+def brand_release(spark: SparkSession, sf_dir: str, bound: int | None = None) -> synthesis.Release:
+    return experiment.release(stored_graph(spark, sf_dir, bound), brands(spark, sf_dir, bound), EPSILON, SEED)
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +77,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def both_sizes(f: Callable[[SparkSession, str, int | None], DataFrame]) -> Callable[[SparkSession, str, int | None], DataFrame]:
+    """Registers f over G_small, for its SQL, and over G_part as f_whole."""
+    Q[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir, SMALL))
+    Q[f"{f.__name__}_whole"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, None))
+    return f
+
+
 # -- loading ---------------------------------------------------------------
 
 
@@ -108,15 +121,13 @@ def q_edge_lines(spark, d):
     return G.multiplicity(edge_sources.edge_lines(text))
 
 
-@query
-def q_csr_decode(spark, d):
-    """The binary format's arrays for G_small, decoded."""
-    g = small_graph(spark, d)
+@both_sizes
+def q_csr_decode(spark, d, bound):
+    """The binary format's arrays, decoded."""
+    g = stored_graph(spark, d, bound)
     arcs = G.both_ways(g.edges)
-    order = F.row_number().over(Window.orderBy("src", "dst")) - 1
-    links = arcs.select(order.cast("long").alias("pos"), "dst")
-    run = Window.orderBy("vid")
-    cum = G.degrees(g).select(F.col("vid").alias("idx"), F.sum("deg").over(run).alias("cum"))
+    links = ranked(arcs, F.col("src"), F.col("dst"), name="pos").select("pos", "dst")
+    cum = running_total(G.degrees(g), [], "vid", F.col("deg"), "cum").select(F.col("vid").alias("idx"), "cum")
     return edge_sources.csr_arcs(cum, links)
 
 
@@ -163,9 +174,9 @@ def q_neighbor_comm_weights(spark, d):
     return G.neighbour_weights(part_graph(spark, d).edges, brands(spark, d))
 
 
-@query
-def q_all_comm_weights(spark, d):
-    return G.all_weights(small_graph(spark, d), brands(spark, d, True))
+@both_sizes
+def q_all_comm_weights(spark, d, bound):
+    return G.all_weights(stored_graph(spark, d, bound), brands(spark, d, bound))
 
 
 @query
@@ -217,39 +228,39 @@ def q_transitivity(spark, d):
     return metrics.triangle_counts(part_graph(spark, d)).select("transitivity")
 
 
-@query
-def q_common_neighbors(spark, d):
-    return metrics.common_neighbours(small_graph(spark, d))
+@both_sizes
+def q_common_neighbors(spark, d, bound):
+    return metrics.common_neighbours(stored_graph(spark, d, bound))
 
 
-@query
-def q_non_neighbors(spark, d):
-    return metrics.non_neighbours(small_graph(spark, d), brands(spark, d, True))
+@both_sizes
+def q_non_neighbors(spark, d, bound):
+    return metrics.non_neighbours(stored_graph(spark, d, bound), brands(spark, d, bound))
 
 
-@query
-def q_components(spark, d):
-    return metrics.components(small_graph(spark, d))
+@both_sizes
+def q_components(spark, d, bound):
+    return metrics.components(stored_graph(spark, d, bound))
 
 
-@query
-def q_bfs_levels(spark, d):
-    return metrics.bfs_levels(small_graph(spark, d), spark.range(1, 4).select(F.col("id").alias("vid")))
+@both_sizes
+def q_bfs_levels(spark, d, bound):
+    return metrics.bfs_levels(stored_graph(spark, d, bound), spark.range(1, 4).select(F.col("id").alias("vid")))
 
 
-@query
-def q_diameter(spark, d):
-    return metrics.diameter(small_graph(spark, d))
+@both_sizes
+def q_diameter(spark, d, bound):
+    return metrics.diameter(stored_graph(spark, d, bound))
 
 
-@query
-def q_evc_10iter(spark, d):
-    return metrics.eigenvector_centrality(small_graph(spark, d), 10)
+@both_sizes
+def q_evc_10iter(spark, d, bound):
+    return metrics.eigenvector_centrality(stored_graph(spark, d, bound), 10)
 
 
-@query
-def q_evc_topk(spark, d):
-    rows = rounded(metrics.eigenvector_centrality(small_graph(spark, d), 10))
+@both_sizes
+def q_evc_topk(spark, d, bound):
+    rows = rounded(metrics.eigenvector_centrality(stored_graph(spark, d, bound), 10))
     return metrics.top_share(staged(rows, "evc"), "evc", 0.05).select("vid", "evc", "rank")
 
 
@@ -310,10 +321,10 @@ def q_laplace_degree(spark, d):
     return mechanisms.laplace_degrees(part_graph(spark, d), 2 / EPSILON, SEED)
 
 
-@query
-def q_norm_sub(spark, d):
-    noisy = rounded(mechanisms.laplace_degrees(small_graph(spark, d), 20.0, SEED)).withColumn("noisy", F.col("noisy") - 15)
-    noisy = noisy.join(brands(spark, d, True), "vid")
+@both_sizes
+def q_norm_sub(spark, d, bound):
+    noisy = rounded(mechanisms.laplace_degrees(stored_graph(spark, d, bound), 20.0, SEED)).withColumn("noisy", F.col("noisy") - 15)
+    noisy = noisy.join(brands(spark, d, bound), "vid")
     return mechanisms.norm_sub(noisy, "noisy", ["com"], "fit").select("com", "vid", "noisy", "fit")
 
 
@@ -348,59 +359,59 @@ def q_init_neighbor_groups(spark, d):
     return mechanisms.score_groups(rounded(mechanisms.neighbour_scores(part_graph(spark, d), EPSILON, SEED, bound=60)), "score", 20)
 
 
-@query
-def q_em_batch(spark, d):
-    return mechanisms.em_batch(small_graph(spark, d), G.renumbered(brands(spark, d, True)), 4 * EPSILON, SEED, batch=1, batches=3)
+@both_sizes
+def q_em_batch(spark, d, bound):
+    return mechanisms.em_batch(stored_graph(spark, d, bound), G.renumbered(brands(spark, d, bound)), 4 * EPSILON, SEED, batch=1, batches=3)
 
 
 @query
 def q_em_exact(spark, d):
-    g = small_graph(spark, d)
-    return louvain.em_exact(g.vertices, g.edges, brands(spark, d, True), EPSILON, seed=SEED)
+    g = stored_graph(spark, d)
+    return louvain.em_exact(g.vertices, g.edges, brands(spark, d), EPSILON, seed=SEED)
 
 
 @query
 def q_louvain(spark, d):
-    g = small_graph(spark, d)
+    g = stored_graph(spark, d)
     return louvain.louvain(g.vertices, g.edges, seed=SEED)
 
 
 @query
 def q_init_random(spark, d):
-    return mechanisms.init_random(small_graph(spark, d), EPSILON, 10, SEED)
+    return mechanisms.init_random(stored_graph(spark, d), EPSILON, 10, SEED)
 
 
 @query
 def q_init_degree(spark, d):
-    return mechanisms.init_degree(small_graph(spark, d), EPSILON, SEED)
+    return mechanisms.init_degree(stored_graph(spark, d), EPSILON, SEED)
 
 
 @query
 def q_init_neighbor(spark, d):
-    return mechanisms.init_neighbour(small_graph(spark, d), EPSILON, SEED, size=10)
+    return mechanisms.init_neighbour(stored_graph(spark, d), EPSILON, SEED, size=10)
 
 
 # -- synthesis -----------------------------------------------------------------
 
 
-@query
-def q_chung_lu(spark, d):
-    return synthesis.chung_lu(small_release(spark, d).degrees, SEED)
+@both_sizes
+def q_chung_lu(spark, d, bound):
+    return synthesis.chung_lu(brand_release(spark, d, bound).degrees, SEED)
 
 
 @query
 def q_chung_lu_sparse(spark, d):
-    return synthesis.chung_lu_sparse(small_release(spark, d).degrees, SEED)
+    return synthesis.chung_lu_sparse(brand_release(spark, d).degrees, SEED)
 
 
-@query
-def q_inter_uniform(spark, d):
-    return synthesis.inter_uniform(small_release(spark, d), SEED)
+@both_sizes
+def q_inter_uniform(spark, d, bound):
+    return synthesis.inter_uniform(brand_release(spark, d, bound), SEED)
 
 
-@query
-def q_synth_original(spark, d):
-    return synthesis.original(small_release(spark, d), SEED)
+@both_sizes
+def q_synth_original(spark, d, bound):
+    return synthesis.original(brand_release(spark, d, bound), SEED)
 
 
 @query
@@ -409,84 +420,86 @@ def q_weighted_sample(spark, d):
     return synthesis.sample_without_replacement(rows, ["com"], "deg", F.lit(5), SEED, "sample").select("com", "vid")
 
 
-@query
-def q_weighted_pick(spark, d):
-    rows = small_release(spark, d).degrees
+@both_sizes
+def q_weighted_pick(spark, d, bound):
+    rows = brand_release(spark, d, bound).degrees
     asked = rows.select("com").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10))))
     return synthesis.pick(asked, synthesis.slots(rows, F.greatest("target", F.lit(1))), "com", uniform(SEED, "pick", F.col("com"), F.col("k")), "vid").select("com", "k", "vid")
 
 
-@query
-def q_collision_free_accept(spark, d):
-    r = small_release(spark, d)
+@both_sizes
+def q_collision_free_accept(spark, d, bound):
+    r = brand_release(spark, d, bound)
     base = staged(synthesis.chung_lu(r.degrees, SEED), "chung-lu")
     return synthesis.v3(r, SEED, repair=False).join(base, ["src", "dst"], "left_anti")
 
 
-@query
-def q_synth_v3(spark, d):
-    return synthesis.v3(small_release(spark, d), SEED, repair=False)
+@both_sizes
+def q_synth_v3(spark, d, bound):
+    return synthesis.v3(brand_release(spark, d, bound), SEED, repair=False)
 
 
-@query
-def q_synth_v3_convert(spark, d):
-    return synthesis.v3_convert(small_release(spark, d), SEED, repair=False)
+@both_sizes
+def q_synth_v3_convert(spark, d, bound):
+    return synthesis.v3_convert(brand_release(spark, d, bound), SEED, repair=False)
 
 
-@query
-def q_synth_convert_oversample(spark, d):
-    return synthesis.convert_oversample(small_release(spark, d), SEED)
+@both_sizes
+def q_synth_convert_oversample(spark, d, bound):
+    return synthesis.convert_oversample(brand_release(spark, d, bound), SEED)
 
 
 @query
 def q_synth_v2(spark, d):
-    return synthesis.v2(small_release(spark, d), SEED)
+    return synthesis.v2(brand_release(spark, d), SEED)
 
 
 @query
 def q_synth_v4(spark, d):
-    return synthesis.v4(small_release(spark, d), SEED)
+    return synthesis.v4(brand_release(spark, d), SEED)
 
 
 @query
 def q_degree_repair(spark, d):
-    r = small_release(spark, d)
+    r = brand_release(spark, d)
     return synthesis.repair_degrees(synthesis.v3(r, SEED, repair=False), r.degrees, SEED)
 
 
 @query
 def q_repair_rounds(spark, d):
-    r = small_release(spark, d)
-    return synthesis.repair_rounds(small_graph(spark, d).edges, r.degrees, SEED)
+    r = brand_release(spark, d)
+    return synthesis.repair_rounds(stored_graph(spark, d).edges, r.degrees, SEED)
 
 
-@query
-def q_prune_inter(spark, d):
-    r = small_release(spark, d)
+@both_sizes
+def q_prune_inter(spark, d, bound):
+    r = brand_release(spark, d, bound)
     half = r.edge_counts.withColumn("ev", F.floor(F.col("ev") / 2))
-    return synthesis.excess_inter(small_graph(spark, d).edges, brands(spark, d, True), half, SEED)
+    return synthesis.excess_inter(stored_graph(spark, d, bound).edges, brands(spark, d, bound), half, SEED)
 
 
 @query
 def q_prune(spark, d):
-    return synthesis.prune(small_graph(spark, d).edges, small_release(spark, d), SEED)
+    return synthesis.prune(stored_graph(spark, d).edges, brand_release(spark, d), SEED)
 
 
 @query
 def q_edge_swap(spark, d):
-    return synthesis.edge_swap(small_graph(spark, d).edges, brands(spark, d, True), SEED)
+    return synthesis.edge_swap(stored_graph(spark, d).edges, brands(spark, d), SEED)
 
 
-@query
-def q_cross_cleanup(spark, d):
-    return synthesis.cross_cleanup(small_graph(spark, d).edges, brands(spark, d, True), SEED)
+@both_sizes
+def q_cross_cleanup(spark, d, bound):
+    return synthesis.cross_cleanup(stored_graph(spark, d, bound).edges, brands(spark, d, bound), SEED)
 
 
 # -- influence -------------------------------------------------------------------
 
 
-def _weighted(spark, d):
-    pairs = listed_pairs(spark, d).where((F.col("u") <= SMALL) & (F.col("v") <= SMALL) & (F.col("u") != F.col("v")))
+def _weighted(spark, d, bound=None):
+    pairs = listed_pairs(spark, d).where(F.col("u") != F.col("v"))
+    if bound is not None:
+        pairs = pairs.where((F.col("u") <= bound) & (F.col("v") <= bound))
     return staged(G.multiplicity(pairs).select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight"), "weighted")
 
 
@@ -495,16 +508,16 @@ def q_degree_discount(spark, d):
     return influence.degree_discount(_weighted(spark, d), 20)
 
 
-@query
-def q_ic_spread(spark, d):
+@both_sizes
+def q_ic_spread(spark, d, bound):
     seeds = spark.range(1, 6).select(F.col("id").alias("vid"))
-    return influence.cascades(_weighted(spark, d), seeds, 50, 0.02, SEED)
+    return influence.cascades(_weighted(spark, d, bound), seeds, 50, 0.02, SEED)
 
 
-@query
-def q_spread_mean(spark, d):
+@both_sizes
+def q_spread_mean(spark, d, bound):
     seeds = spark.range(1, 6).select(F.col("id").alias("vid"), F.col("id").cast("int").alias("rank"))
-    return influence.spread(_weighted(spark, d), seeds, 50, 0.02, SEED, seed_size=3)
+    return influence.spread(_weighted(spark, d, bound), seeds, 50, 0.02, SEED, seed_size=3)
 
 
 # -- experiments -----------------------------------------------------------------
@@ -608,13 +621,11 @@ def q_compound_interest(spark, d):
 
 @query
 def q_publish(spark, d):
-    """The whole pipeline once over G_small: edges of the published graph."""
-    return experiment.publish(small_graph(spark, d), 2.0, SEED, group_size=10).edges
+    """The whole pipeline once: edges of the published graph."""
+    return experiment.publish(stored_graph(spark, d), 2.0, SEED, group_size=10).edges
 
 
 @query
 def q_run_table(spark, d):
-    """Two cells of a sweep over a smaller graph, measured against it."""
-    g = small_graph(spark, d)
-    low = G.Graph(g.vertices.where("vid <= 100"), staged(g.edges.where("src <= 100 and dst <= 100"), "low"))
-    return experiment.run_table(spark, low, experiment.sweep(epsilon=[1.0, 3.0], method=["original"], group_size=[10]), 1, SEED)
+    """Two cells of a sweep, measured against the graph."""
+    return experiment.run_table(spark, stored_graph(spark, d), experiment.sweep(epsilon=[1.0, 3.0], method=["original"], group_size=[10]), 1, SEED)
