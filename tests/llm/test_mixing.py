@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 
 from veilgraph.llm import mixing
@@ -67,3 +68,16 @@ def test_all_clamped_and_empty(spark):
     rows = mixing.mix_sources(df, [1.0], total_ratio=5.0).collect()
     assert all(r.repeats == 2 for r in rows if r.size)
     assert mixing.mix_sources(df.where("1 = 0"), [1.0]).collect() == []
+
+
+@pytest.mark.parametrize("texts", [["a b c d e f g h i j"] * 2, ["a b c d e f g h i j"] * 40, ["a b"] * 30 + ["", " ", None] * 30])
+def test_fraction_on_a_boundary(spark, tmp_path, texts):
+    """Documents of one length, half of which make up the fraction."""
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op1_mix(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = db.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(found)
+    assert sum(r.taken for r in got.collect()) == 1.5 * sum(len(plain.words(t)) for t in texts)

@@ -63,7 +63,8 @@ def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
     Documents are taken in key order until the fraction's words are reached,
     the last one if that comes nearer.  Two histogram levels over the key
     find the bucket in which that happens; only its documents, a millionth of
-    the source, are ordered one by one.
+    the source, are ordered one by one.  Where a bucket ends just there, it is
+    the next with words: what has none before its first document still fits.
     """
     on = lambda a, b: a["source"].eqNullSafe(b["source"])
     top = F.shiftright("key", 60 - _LEVEL_BITS)
@@ -77,7 +78,7 @@ def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
         sums = sums.withColumn("end", F.sum("words").over(run))
         here = sums.join(found, on(sums, found)).drop(found["source"])
         here = here.withColumn("end", F.col("end") + F.col("base"))
-        here = here.where((F.col("end") > F.col("part")) & (F.col("end") - F.col("words") < F.col("part")))
+        here = here.where((F.col("end") > F.col("part")) & (F.col("end") - F.col("words") <= F.col("part")))
         found = here.groupBy("source").agg(
             F.min(F.struct(F.col(level).alias("at"), (F.col("end") - F.col("words")).alias("base"), "part")).alias("x")
         ).select("source", F.col("x.at").alias("at"), F.col("x.base").alias("base"), F.col("x.part").alias("part"))
