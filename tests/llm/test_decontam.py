@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from veilgraph.llm import decontam
@@ -45,3 +46,37 @@ def test_proximity(spark):
     got = sorted((r.doc_id, r.item_id, r["first"], r.stop) for r in decontam.proximity_matches(index, i, 2).collect())
     assert got == [(1, "1", 0, 5), (2, "1", 0, 4)]
     assert decontam.proximity_matches(index, i.where("1 = 0"), 2).collect() == []
+
+
+def test_proximity_of_long_items(spark):
+    """Items and slop wider than the gap between documents, which spans must
+    not cross."""
+    words = [f"w{k}" for k in range(5000)]
+    text = " ".join(words)
+    far = "alpha " + "x " * 4500 + "omega"
+    d, i = frames(spark, [(1, " ".join(words[:2500])), (2, " ".join(words[2500:])), (3, f"intro {text} outro"), (4, far), (5, "alpha"), (6, "omega")], [(1, text), (2, "omega alpha")])
+    index = decontam.build_index(d.coalesce(1))
+    found = lambda slop: sorted((r.doc_id, r.item_id, r["first"], r.stop) for r in decontam.proximity_matches(index, i, slop).collect())
+    assert found(0) == [(3, "1", 1, 5001)]
+    assert found(4499) == [(3, "1", 1, 5001)]
+    assert found(10000) == [(3, "1", 1, 5001), (4, "2", 0, 4502)]
+
+
+def test_spans_are_the_smallest():
+    dice = np.random.default_rng(2)
+    for _ in range(100):
+        lengths = dice.integers(0, 15, 4)
+        starts = np.cumsum(lengths) - lengths + np.arange(4) * 3
+        at = np.concatenate([s + np.arange(n) for s, n in zip(starts, lengths, strict=True)])
+        said = dice.integers(0, 4, len(at))
+        lists = [at[said == t] for t in range(3)]
+        width = int(dice.integers(1, 12))
+
+        class Fake:
+            sizes = np.array([len(p) for p in lists])  # noqa: B023
+            shard = decontam.Shard(None, [], lengths, starts, None, None, None, None)  # noqa: B023
+            __getitem__ = lambda self, t: lists[t]  # noqa: B023, E731
+
+        spans = {(int(a), int(b)) for a in at for b in at if a <= b < a + width and len({int(np.searchsorted(starts, x, "right")) for x in (a, b)}) == 1 and {0, 1, 2} <= set(said[(at >= a) & (at <= b)].tolist())}
+        want = sorted(x for x in spans if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in spans))
+        assert list(map(tuple, decontam.spans(Fake(), np.arange(3), width).tolist())) == want

@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from veilgraph.llm.blocks import ALNUM, encode, pack, split_words, text_blocks, unpack
 from veilgraph.plans.staging import staged
 
-#: Positions left free between two documents of a shard: more than the
-#: longest phrase or span.
+#: Positions left free between two documents of a shard.
 GAP = 4096
 #: Bytes of benchmark text that are sent to the shards at once.
 QUERY_BYTES = 8 << 20
@@ -125,22 +124,33 @@ def phrase_starts(lists: Lists, phrase: np.ndarray) -> np.ndarray:
 
 def spans(lists: Lists, terms: np.ndarray, width: int) -> np.ndarray:
     """Rows (first, last) of the smallest spans of at most width positions
-    that hold all the distinct terms, in any order, looked up around the
-    rarest."""
+    that hold all the distinct terms, in any order and in one document, looked
+    up around the rarest."""
     terms = np.unique(terms)
     if not len(terms) or not lists.sizes[terms].all():
         return np.zeros((0, 2), np.int64)
-    rare = lists[int(terms[np.argmin(lists.sizes[terms])])]
-    found = set()
-    for anchor in rare.tolist():
-        near = [p[np.searchsorted(p, anchor - width + 1) : np.searchsorted(p, anchor + width)] for p in (lists[int(t)] for t in terms)]
+    places = [lists[int(t)] for t in terms]
+    rare, shard, best = min(places, key=len), lists.shard, []
+    at = shard.of_document(rare)
+    for doc in np.unique(at).tolist():
+        anchors, start = rare[at == doc], shard.starts[doc]
+        low, high = max(start, anchors[0] - width + 1), min(start + shard.lengths[doc], anchors[-1] + width)
+        near = [p[np.searchsorted(p, low) : np.searchsorted(p, high)] for p in places]
         if not all(map(len, near)):
             continue
-        for first in np.unique(np.concatenate(near)).tolist():
-            nexts = [p[k] if (k := np.searchsorted(p, first)) < len(p) else None for p in near]
-            if None not in nexts and max(nexts) - first < width and first <= anchor <= max(nexts):
-                found.add((first, int(max(nexts))))
-    best = sorted(x for x in found if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in found))
+        where, which = np.concatenate(near), np.repeat(np.arange(len(near)), [len(p) for p in near])
+        order = np.argsort(where)
+        latest: dict[int, int] = {}  # by term, the one seen longest ago first
+        before = -1
+        for last, term in zip(where[order].tolist(), which[order].tolist(), strict=True):
+            latest.pop(term, None)
+            latest[term] = last
+            if len(latest) < len(near):
+                continue
+            first = next(iter(latest.values()))
+            if first > before and last - first < width:
+                best.append((first, last))
+            before = first
     return np.array(best, np.int64).reshape(-1, 2)
 
 
@@ -227,7 +237,7 @@ def proximity_matches(index: DataFrame, benchmark: DataFrame, slop: int, *, id_c
                     lists = Lists(shard, shard.codes(words))
                     out = []
                     for name, item in zip(q.ids, q.items, strict=True):
-                        near = spans(lists, item, min(len(np.unique(item)) + slop, GAP - 1))
+                        near = spans(lists, item, len(np.unique(item)) + slop)
                         doc = shard.of_document(near[:, 0])
                         out += [(shard.ids[d], name, int(a - shard.starts[d]), int(b + 1 - shard.starts[d])) for d, (a, b) in zip(doc, near, strict=True)]
                     columns = list(zip(*out, strict=True)) or [[], [], [], []]
