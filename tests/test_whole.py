@@ -1,6 +1,7 @@
 """The queries that have SQL over G_small only, over all ids: against that SQL
 without its bound, on a small fixture with ids beyond it."""
 
+import hashlib
 import random
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgraph.operators import graph as G
-from veilgraph.operators import metrics
+from veilgraph.operators import metrics, synthesis
 from veilgraph.plans import catalogue
 from veilgraph.plans.oracles import ORACLES
 
@@ -58,3 +59,19 @@ def test_diameter_in_blocks(spark, monkeypatch):
     edges = sorted({(min(e), max(e)) for _ in range(240) if len(e := {dice.randrange(200), dice.randrange(200)}) == 2})
     graph = G.Graph(spark.range(200).withColumnRenamed("id", "vid"), spark.createDataFrame(edges, "src long, dst long"))
     assert metrics.diameter(graph).first()[0] == metrics.bfs_levels(graph).agg(F.max("depth")).first()[0]
+
+
+@pytest.mark.parametrize("name", ["q_synth_v3", "q_synth_v3_convert"])
+def test_repair_is_part_of_the_method(spark, folder, name):
+    plain = catalogue.Q[f"{name}_whole"](spark, folder)
+    want = synthesis.repair_degrees(plain, catalogue.brand_release(spark, folder).degrees, catalogue.SEED)
+    got = set(map(tuple, catalogue.Q[f"{name}_repaired"](spark, folder).collect()))
+    assert got == set(map(tuple, want.collect())) != set(map(tuple, plain.collect()))
+
+
+def test_full_pass_moves_vertices_of_all_batches(spark, folder):
+    before = {r.vid: r.com for r in G.renumbered(catalogue.brands(spark, folder)).collect()}
+    after = {r.vid: r.com for r in catalogue.Q["q_adjust_communities"](spark, folder).collect()}
+    assert after.keys() == before.keys()
+    deal = lambda v: int(hashlib.md5(f"{catalogue.SEED}|em-deal|{v}".encode()).hexdigest()[:13], 16) % 4
+    assert {deal(v) for v in before if after[v] != before[v]} == {0, 1, 2, 3}

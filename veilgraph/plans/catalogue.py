@@ -376,6 +376,12 @@ def q_louvain(spark, d):
     return louvain.louvain(g.vertices, g.edges, seed=SEED)
 
 
+@query
+def q_adjust_communities(spark, d):
+    """The whole pass: each vertex moves once, in keyed batches."""
+    return mechanisms.adjust_communities(stored_graph(spark, d), brands(spark, d), EPSILON, SEED)
+
+
 @query
 def q_init_random(spark, d):
     return mechanisms.init_random(stored_graph(spark, d), EPSILON, 10, SEED)
@@ -449,6 +455,17 @@ def q_synth_convert_oversample(spark, d, bound):
     return synthesis.convert_oversample(brand_release(spark, d, bound), SEED)
 
 
+@query
+def q_synth_v3_repaired(spark, d):
+    """The method with its degree repair."""
+    return synthesis.v3(brand_release(spark, d), SEED)
+
+
+@query
+def q_synth_v3_convert_repaired(spark, d):
+    return synthesis.v3_convert(brand_release(spark, d), SEED)
+
+
 @query
 def q_synth_v2(spark, d):
     return synthesis.v2(brand_release(spark, d), SEED)
