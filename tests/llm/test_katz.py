@@ -109,6 +109,18 @@ def test_spread_contexts(spark, monkeypatch):
     compare(spark, corpus())
 
 
+def test_spread_start(spark, monkeypatch):
+    """The start marker, a context of every document, is spread as frequent
+    words are."""
+    monkeypatch.setattr(katz, "BIG", 3)
+    real, hot = katz._count_bigrams, {}
+    monkeypatch.setattr(katz, "_count_bigrams", lambda parts, found: (hot.update(found), real(parts, found))[1])
+    docs = [(i, f"w{i % 50} tail" if i % 3 else None) for i in range(600)]
+    model = compare(spark, docs)
+    start = int(katz.hash64(katz.pa.array([katz._START], katz.pa.large_binary()))[0])
+    assert hot[start] == model.one[END]
+
+
 def test_few(spark):
     compare(spark, [(1, "a a a a")])
     compare(spark, [(None, None)])

@@ -375,6 +375,9 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
     hot_least = max(BIG, total // (4 * parts))  # so there are 4 * parts at most
     big = unigrams.select(F.explode(F.arrays_zip("big", "big_count")).alias("x")).where(F.col("x.big_count") > hot_least)
     hot = {h & (1 << 64) - 1: n for h, n in big.select("x.big", "x.big_count").collect()}
+    end_count = rows.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]  # a training document has one end, and one start, which is no word
+    if end_count > hot_least:
+        hot[int(hash64(pa.array([_START], pa.large_binary()))[0])] = end_count
 
     d1 = discounts(of_counts)
     over = total + (0 if sum(of_counts[:K]) else 1)
@@ -421,7 +424,6 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
         .unionByName(words.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
         .unionByName(weighed.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
     )
-    end_count = rows.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]  # a training document has one end
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
