@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from veilgraph.llm import mixing
 
@@ -81,3 +82,39 @@ def test_fraction_on_a_boundary(spark, tmp_path, texts):
     found = db.execute(f"SELECT {', '.join(got.columns)} FROM ({mixing.ORACLE})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(found)
     assert sum(r.taken for r in got.collect()) == 1.5 * sum(len(plain.words(t)) for t in texts)
+
+
+@pytest.mark.parametrize("copies", [100, 7])
+def test_repeated_rows_are_taken_one_by_one(spark, tmp_path, copies):
+    """Rows that share id and text fill a target to within half a row."""
+    rows = [(1, "a b c d", "hot")] * copies + [(None, "x y z", "hot")] * copies + [(k, "q " * (k % 5), "cold") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op1_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for size in {r.source_size for r in got}:
+        mine = [r for r in got if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 2
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = db.execute(f"SELECT doc_id, size, source_size, target, taken, repeats FROM ({mixing.ORACLE})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(found, key=str)
+
+
+def test_clashing_columns_and_listed_weights(spark):
+    rows = [(k, "w " * (k % 7), f"s{k % 2}", k, k, k, k) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long, _BY long, taken long, `odd.name` long")
+    weights = spark.createDataFrame([("s0", 1.0), ("s0", 2.0), ("s1", 3.0), ("s1", None), ("s1", -4.0)], "source string, weight double")
+    got = mixing.mix_sources(df, weights)
+    assert got.columns == ["doc_id", "text", "source", "_key", "_BY", "odd.name", *mixing.OUTPUT]
+    found = got.collect()
+    assert len(found) == 60 and all(r._key == r.doc_id for r in found)
+    assert len({r.target for r in found}) == 1
+    copies = mixing.materialize(got.withColumn("_copy", F.lit(5)))
+    assert copies.count() == sum(r.repeats for r in found) and "_copy" in copies.columns
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "s"), (2, "x " * 100_000, "s"), (3, None, "s")]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), [1.0]).collect()
+    assert {r.doc_id: r.size for r in got} == {1: 400_000, 2: 100_000, 3: 0}
+    assert abs(sum(r.taken for r in got) - 750_000) <= 200_000

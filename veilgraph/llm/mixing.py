@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.textops import keyed_hash, n_words, without
-from veilgraph.plans.staging import staged
+from veilgraph.llm.textops import fresh, keyed_hash, n_words, quoted, without
+from veilgraph.operators.ranking import ranked
+from veilgraph.plans.staging import staged, steady_scans
 
 #: Bits of the sampling key that each of the two histogram levels resolves.
 _LEVEL_BITS = 10
@@ -26,7 +27,9 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
 
     Each round is one distributed aggregate that yields two scalars; a source
     is clamped in a round if weight * level exceeds its cap.  The level only
-    rises, so the clamped set only grows and the rounds end.
+    rises, so the clamped set only grows and the rounds end.  Where total is
+    more than all caps, every source with a weight gets its cap; a source
+    without weight gets 0; an empty table stays empty.
     """
     level, clamped = 0.0, -1
     while True:
@@ -49,47 +52,61 @@ def water_fill(sources: DataFrame, total: float) -> DataFrame:
 def cyclic_weights(sources: DataFrame, weights: list[float]) -> DataFrame:
     """(source, weight) for distinct sources in code point order, null last,
     that take the given weights in turn."""
-    w = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(w) - 1) % len(weights) + 1
-    return sources.select("source").distinct().withColumn(
-        "weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn.cast("int"))
-    )
+    order = ranked(sources.select("source").distinct(), F.col("source").asc_nulls_last(), name="turn")
+    turn = F.col("turn") % len(weights) + 1
+    return order.select("source", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn.cast("int")).alias("weight"))
+
+
+def _at_source(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows with the columns of found for their source, null included."""
+    other = found.withColumnRenamed("source", "_of")
+    return rows.join(other, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source the sampling key up to which documents get one repetition
-    more.
-
-    Documents are taken in key order until the fraction's words are reached,
-    the last one if that comes nearer.  Two histogram levels over the key
-    find the bucket in which that happens; only its documents, a millionth of
-    the source, are ordered one by one.  Where a bucket ends just there, it is
-    the next with words: what has none before its first document still fits.
+    """Per source (upto, last): rows whose sampling key is below upto get one
+    repetition more, and so do those of that key numbered up to last.
+
+    Rows are taken in key order until the fraction's words are reached, the
+    last one if that comes nearer.  Rows that share a key (they are equal) are
+    counted together; two histogram levels over the key find the bucket in
+    which the words are reached, and only its keys, a millionth of the
+    source's, are ordered one by one.  Where a bucket ends just there, it is
+    the next with words: what has none before its first row still fits.  Where
+    some of the rows of one key fit, the number of the last is found from
+    counts per partition and the rows of one partition.
     """
-    on = lambda a, b: a["source"].eqNullSafe(b["source"])
-    top = F.shiftright("key", 60 - _LEVEL_BITS)
-    mid = F.shiftright("key", 60 - 2 * _LEVEL_BITS).bitwiseAND((1 << _LEVEL_BITS) - 1)
-    keys = keys.withColumn("b1", top).withColumn("b2", mid)
+    keys = keys.withColumn("b1", F.shiftright("key", 60 - _LEVEL_BITS))
+    keys = keys.withColumn("b2", F.shiftright("key", 60 - 2 * _LEVEL_BITS).bitwiseAND((1 << _LEVEL_BITS) - 1))
     found = plan.select("source", "part").withColumn("base", F.lit(0).cast("long"))
     scope = keys
     for level in ("b1", "b2"):
         sums = scope.groupBy("source", level).agg(F.sum("size").alias("words"))
         run = Window.partitionBy("source").orderBy(level)
-        sums = sums.withColumn("end", F.sum("words").over(run))
-        here = sums.join(found, on(sums, found)).drop(found["source"])
-        here = here.withColumn("end", F.col("end") + F.col("base"))
+        here = _at_source(sums.withColumn("end", F.sum("words").over(run)), found).withColumn("end", F.col("end") + F.col("base"))
         here = here.where((F.col("end") > F.col("part")) & (F.col("end") - F.col("words") <= F.col("part")))
         found = here.groupBy("source").agg(
             F.min(F.struct(F.col(level).alias("at"), (F.col("end") - F.col("words")).alias("base"), "part")).alias("x")
         ).select("source", F.col("x.at").alias("at"), F.col("x.base").alias("base"), F.col("x.part").alias("part"))
-        cut = found.select(F.col("source").alias("s"), "at")
-        scope = scope.join(cut, scope["source"].eqNullSafe(cut["s"]) & (scope[level] == cut["at"])).drop("s", "at")
-    run = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    scope = scope.withColumn("before", F.coalesce(F.sum("size").over(run), F.lit(0)))
-    scope = scope.join(found.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    fits = 2 * (F.col("base") + F.col("before")) + F.col("size") <= 2 * F.col("part")
-    first = F.shiftleft(F.shiftright(F.min("key"), 60 - 2 * _LEVEL_BITS), 60 - 2 * _LEVEL_BITS)
-    return scope.groupBy("s").agg(F.coalesce(F.max(F.when(fits, F.col("key"))), first - 1).alias("upto"))
+        scope = _at_source(scope, found.select("source", "at")).where(F.col(level) == F.col("at")).drop("at")
+    run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    groups = scope.groupBy("source", "key").agg(F.max("size").alias("size"), F.count("*").alias("n"))
+    groups = groups.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("n")).over(run), F.lit(0)))
+    left = 2 * (F.col("part") - F.col("base") - F.col("before"))  # a row fits if half of it does
+    fit = F.when(F.col("size") > 0, F.floor((left - F.col("size")) / (2 * F.col("size"))) + 1).when(left >= 0, F.col("n")).otherwise(0)
+    groups = _at_source(groups, found.select("source", "base", "part")).withColumn("m", F.greatest(F.lit(0), F.least(fit, "n")).cast("long"))
+    # the first key of which not all rows fit, or the one after the bucket's last
+    cut = groups.groupBy("source").agg(F.min(F.when(F.col("m") < F.col("n"), F.struct("key", "m"))).alias("x"), F.max("key").alias("most"))
+    cut = staged(cut.select("source", F.coalesce("x.key", F.col("most") + 1).alias("upto"), F.coalesce("x.m", F.lit(0)).alias("m")), "mix-cuts")
+    partial = cut.where("m > 0").select("source", F.col("upto").alias("key"), "m")
+    split = _at_source(scope, partial.withColumnRenamed("key", "cut")).where("key = cut").withColumn("place", F.shiftright("rid", 33))
+    counts = split.groupBy("source", "m", "place").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("source").orderBy("place"))
+    there = counts.withColumn("upto", upto).where((F.col("upto") >= F.col("m")) & (F.col("upto") - F.col("n") < F.col("m")))
+    there = there.select("source", F.col("place").alias("at"), (F.col("m") - F.col("upto") + F.col("n")).alias("nth"))
+    turn = F.row_number().over(Window.partitionBy("source").orderBy("rid"))
+    last = _at_source(split, there).where("place = at").withColumn("turn", turn).where("turn = nth").select(F.col("source").alias("s"), "rid")
+    return cut.join(last, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "upto", F.coalesce("rid", F.lit(-1)).alias("last"))
 
 
 def mix_sources(
@@ -106,24 +123,35 @@ def mix_sources(
     """Every row of docs with size, source_size, target, repeats and taken.
 
     weights: (source, weight), or a list that the sources take in turn, in
-    code point order, null last.  A source without weight gets 0.  The mix
+    code point order, null last.  A source without weight, or with a null or
+    negative one, gets 0; weights of one source listed twice add up.  The mix
     has total_ratio times the words of docs; a source is repeated max_epochs
     times at most.
 
     Defined results: null or empty text has size 0 and is repeated like its
     source (it takes no words); a null source is a source of its own; null
-    ids are told apart by their text; repeated rows share one decision; an
-    empty table gives an empty result; input columns named like an output
-    column, in any letter case, are replaced.  Reruns agree: the sample is
-    keyed by seed, id and text.
+    ids are told apart by their text; rows that share id and text stand next
+    to each other in the sample's order and are taken one by one, in the order
+    of the table; very long texts count whole, and a target is missed by half
+    a row at most; an empty table gives an empty result; input columns named
+    like an output column, in any letter case, are replaced, others may have
+    any name.  Reruns agree: the sample is keyed by seed, id and text.  docs is
+    read twice and must give the same rows in the same partitions (a stored
+    table does).
     """
+    with steady_scans(docs.sparkSession):
+        return _mixed(docs, weights, total_ratio, max_epochs, seed, id_col, text_col, source_col)
+
+
+def _mixed(docs: DataFrame, weights: DataFrame | list[float], total_ratio: float, max_epochs: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = n_words(F.col(text_col))
     key = keyed_hash(seed, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    keys = staged(docs.select(F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "mix-keys")
+    rid = F.monotonically_increasing_id()
+    keys = staged(docs.select(F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), rid.alias("rid")), "mix-keys")
     sums = staged(keys.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     if not isinstance(weights, DataFrame):
         weights = cyclic_weights(sums, weights)
-    given = weights.select(F.col("source").alias("given"), "weight")
+    given = weights.groupBy(F.col("source").alias("given")).agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("weight"))
     sources = sums.join(given, F.col("source").eqNullSafe(F.col("given")), "left").select(
         "source", "source_size", F.coalesce("weight", F.lit(0.0)).cast("double").alias("weight")
     )
@@ -133,30 +161,35 @@ def mix_sources(
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("long"))
     plan = staged(plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    upto = _thresholds(keys, plan.where("part > 0"))
-    plan = plan.join(upto, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        F.col("source").alias("_mix_source"), "source_size", "target", "whole", F.coalesce("upto", F.lit(-1)).alias("upto")
-    )
+    cuts = _thresholds(keys, plan.where("part > 0")).withColumnRenamed("source", "s")
+    by, plan_size, plan_target, plan_whole, plan_upto, plan_last, row_by, row_size, row_key, row_rid = fresh(docs, "by", "source_size", "target", "whole", "upto", "last", "row_by", "size", "key", "rid")
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias(by), F.col("source_size").alias(plan_size), F.col("target").alias(plan_target), F.col("whole").alias(plan_whole),
+        F.coalesce("upto", F.lit(-1)).alias(plan_upto), F.coalesce("last", F.lit(-1)).alias(plan_last),
+    )
     plan = staged(plan, "mix-thresholds")
-    rows = docs.select("*", F.col(source_col).alias("_mix_by"), size.alias("_mix_size"), key.alias("_mix_key"))
-    rows = rows.join(plan, F.col("_mix_by").eqNullSafe(F.col("_mix_source")))
-    repeats = plan["whole"] + F.when(F.col("_mix_key") <= plan["upto"], 1).otherwise(0)
-    keep = without(docs, OUTPUT).columns
+    rows = docs.select("*", F.col(source_col).alias(row_by), size.alias(row_size), key.alias(row_key), rid.alias(row_rid))
+    rows = rows.join(plan, F.col(row_by).eqNullSafe(F.col(by)))
+    more = (F.col(row_key) < F.col(plan_upto)) | ((F.col(row_key) == F.col(plan_upto)) & (F.col(row_rid) <= F.col(plan_last)))
+    repeats = F.col(plan_whole) + F.when(more, 1).otherwise(0)
     return rows.select(
-        *[docs[f"`{c}`"] for c in keep],
-        F.col("_mix_size").alias("size"),
-        plan["source_size"],
-        plan["target"],
+        *[quoted(c) for c in without(docs, OUTPUT).columns],
+        F.col(row_size).alias("size"),
+        F.col(plan_size).alias("source_size"),
+        F.col(plan_target).alias("target"),
         repeats.alias("repeats"),
-        (repeats * F.col("_mix_size")).alias("taken"),
+        (repeats * F.col(row_size)).alias("taken"),
     )
 
 
 def materialize(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is to be repeated, without
-    the operator's columns."""
-    copies = F.explode(F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats"))).otherwise(F.array().cast("array<long>")))
-    return mixed.withColumn("_copy", copies).drop("_copy", *OUTPUT)
+    the operator's columns.  Rows with repeats 0 or null are left out; an
+    empty table stays empty; other columns, whatever their names, go along."""
+    (copy,) = fresh(mixed, "copy")
+    kept = [quoted(c) for c in without(mixed, OUTPUT).columns]
+    copies = F.explode(F.when(F.col("repeats") > 0, F.sequence(F.lit(1).cast("long"), F.col("repeats").cast("long"))).otherwise(F.array().cast("array<long>")))
+    return mixed.select(*kept, copies.alias(copy)).select(*kept)
 
 
 #: op1: weights and ratio that the query fixes.
@@ -196,9 +229,6 @@ r AS (
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 u AS (
-  SELECT source, max(CASE WHEN 2 * before + size <= 2 * part THEN key END) AS upto FROM r WHERE part > 0 GROUP BY source)
-SELECT doc_id, size, r.source_size, target,
-       (whole + CASE WHEN key <= coalesce(upto, -1) THEN 1 ELSE 0 END)::BIGINT * size AS taken,
-       (whole + CASE WHEN key <= coalesce(upto, -1) THEN 1 ELSE 0 END)::BIGINT AS repeats
-FROM r LEFT JOIN u ON r.source IS NOT DISTINCT FROM u.source
+  SELECT *, whole + CASE WHEN part > 0 AND 2 * before + size <= 2 * part THEN 1 ELSE 0 END AS repeats FROM r)
+SELECT doc_id, size, source_size, target, (repeats * size)::BIGINT AS taken, repeats::BIGINT AS repeats FROM u
 """

@@ -24,7 +24,24 @@ def keyed_hash(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def without(df, names):
     """df without columns that clash (in any letter case) with names."""
     taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[quoted(c) for c in df.columns if c.lower() not in taken])
+
+
+def fresh(df, *stems: str) -> list[str]:
+    """Names that no column of df has, in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name, k = f"_{stem}", 0
+        while name in taken:
+            name, k = f"_{stem}_{k}", k + 1
+        taken.add(name)
+        out.append(name)
+    return out
