@@ -29,7 +29,8 @@ def test_spans(tokens, system, history):
     assert [int(t.text) for _, fresh in windows for t in fresh] == list(range(len(tokens)))
     for k, (repeated, fresh) in enumerate(windows):
         total = sum(t.tokens for t in [*repeated, *fresh])
-        assert total <= 40 or len(fresh) == 1
+        held = tokens[0] if system and k else 0
+        assert total <= 40 or (len(fresh) == 1 and held + fresh[0].tokens > 40 and len(repeated) == (held > 0))
         assert not repeated if k == 0 else (repeated[:1] == [windows[0][1][0]]) or not system
         own = [int(t.text) for t in repeated if not (system and t.text == "0")]
         assert own == list(range(int(fresh[0].text) - len(own), int(fresh[0].text))) and len(own) <= history
@@ -63,8 +64,19 @@ def test_read_back(spark, budget):
     got = sorted((tuple(r)[:5] for r in chat.read_back(windows).collect()), key=str)
     assert got == expected(rows())
     for w in windows.collect():
-        assert w.tokens <= budget or w.n_turns - w.n_repeated == 1
+        assert w.over_budget == (w.tokens > budget)
         assert len(chat.parse(w.text)) == w.n_turns
+        if w.over_budget:  # a turn that even after the system turn alone is too much
+            assert w.n_turns - w.n_repeated == 1 and w.n_repeated <= 1
+
+
+def test_history_gives_way(spark):
+    """The system turn and the assistant's fit the budget, the user's before
+    it doesn't fit with them."""
+    said = [("system", 100), ("user", 200), ("assistant", 700), ("user", 200), ("assistant", 800)]
+    data = [(1, k, role, "w " * n) for k, (role, n) in enumerate(said)]
+    got = chat.format_windows(frame(spark, data), budget=1024).orderBy("window").collect()
+    assert [(w.tokens, w.n_repeated, w.n_turns, w.over_budget) for w in got] == [(1012, 0, 3, False), (308, 1, 2, False), (908, 1, 2, False)]
 
 
 def test_empty(spark):

@@ -3,9 +3,9 @@ r"""Formatting conversations into budgeted training windows.
 A conversation's turns are laid out under a template; windows are spans of
 whole turns whose tokens, by the prefix sums of the turns' tokens, fit the
 budget.  Every window after the first begins with the conversation's system
-turn and the last few turns before its span, repeated as context.  The loss
-mask covers assistant texts where they stand for the first time, so each is a
-target once.
+turn and the last few turns before its span, repeated as context as far as the
+budget allows.  The loss mask covers assistant texts where they stand for the
+first time, so each is a target once.
 
 Template: ``### Role: text </turn>\n`` for each turn.  In texts (and unusual
 role names) a backslash goes before ``\``, ``###`` and ``</turn>``, so no
@@ -102,7 +102,7 @@ class Spans:
         turn = Turn(role, text, tokens, self.total)
         if self.fresh and turn.upto - self.start > self.budget - self.fixed:
             closed = (self.repeated, self.fresh)
-            self._open(turn.upto - tokens)
+            self._open(turn)
         self.fresh.append(turn)
         if not self.seen and role == "system":
             self.system = turn
@@ -111,15 +111,19 @@ class Spans:
         self.seen += 1
         return closed
 
-    def _open(self, start: int) -> None:
-        near, room = [], self.history_tokens
+    def _open(self, first: Turn) -> None:
+        """A new window that begins with the turn first: the system turn comes
+        before it, and as much of the past as both limits leave room for."""
+        held = [self.system] if self.system else []
+        room = min(self.history_tokens, self.budget - first.tokens - sum(t.tokens for t in held))
+        near = []
         for turn in reversed(self.past):
             if turn.tokens > room:
                 break
             room -= turn.tokens
             near.insert(0, turn)
-        self.repeated = [*([self.system] if self.system else []), *near]
-        self.fresh, self.start = [], start
+        self.repeated = [*held, *near]
+        self.fresh, self.start = [], first.upto - first.tokens
         self.fixed = sum(t.tokens for t in self.repeated)
 
     def close(self) -> tuple[list[Turn], list[Turn]] | None:
@@ -138,10 +142,10 @@ def render(repeated: list[Turn], fresh: list[Turn]) -> tuple[str, list[dict]]:
     return "".join(parts), mask
 
 
-_WINDOW = "conv_id long, window int, text string, mask array<struct<first:int,stop:int>>, n_repeated int, n_turns int, tokens long"
+_WINDOW = "conv_id long, window int, text string, mask array<struct<first:int,stop:int>>, n_repeated int, n_turns int, tokens long, over_budget boolean"
 _MASK = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
-_KINDS = [pa.int64(), pa.int32(), pa.string(), _MASK, pa.int32(), pa.int32(), pa.int64()]
-_NAMES = ["conv_id", "window", "text", "mask", "n_repeated", "n_turns", "tokens"]
+_KINDS = [pa.int64(), pa.int32(), pa.string(), _MASK, pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+_NAMES = ["conv_id", "window", "text", "mask", "n_repeated", "n_turns", "tokens", "over_budget"]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,15 +159,18 @@ def format_windows(
 ) -> DataFrame:
     """Windows of every conversation: conv_id, window (from 0), text, mask
     (code point spans under the loss), n_repeated (leading turns that repeat
-    earlier ones), n_turns (all of the window's turns) and tokens.
+    earlier ones), n_turns (all of the window's turns), tokens and over_budget.
 
-    A turn that exceeds the budget alone is a window alone, whole.
+    No window exceeds the budget unless a turn, with the system turn that
+    every later window retains, does: that turn is whole in a window of its
+    own, after the system turn and without history, marked over_budget.
 
     Defined results: null text and null role are empty; turns are ordered by
     turn (null last), then role, then text, so repeated rows stay and ties
-    are settled; rows with a null conv_id form one conversation; an empty
-    table gives no window; extra columns are ignored.  A conversation streams
-    through one task in order; no more than a window of it is held.
+    are settled; conv_id is an integer, and rows with a null one form one
+    conversation; very long texts are never cut; an empty table gives no
+    window; extra columns are ignored.  A conversation streams through one
+    task in order; no more than a window of it is held.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"),
@@ -180,7 +187,8 @@ def format_windows(
             if window:
                 repeated, fresh = window
                 text, mask = render(repeated, fresh)
-                out.append((conv, number, text, mask, len(repeated), len(repeated) + len(fresh), sum(t.tokens for t in [*repeated, *fresh])))
+                tokens = sum(t.tokens for t in [*repeated, *fresh])
+                out.append((conv, number, text, mask, len(repeated), len(repeated) + len(fresh), tokens, tokens > budget))
                 number, held = number + 1, held + len(text)
 
         for batch in batches:
@@ -206,7 +214,8 @@ def read_back(windows: DataFrame) -> DataFrame:
     """What the windows say, per conversation: conv_id, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars.  Turns are parsed
     from the text, repeated ones left out; the loss text is what the mask
-    covers, unescaped."""
+    covers, unescaped.  A null conv_id is a conversation like any other; an
+    empty table gives no row."""
     rows = windows.select("conv_id", "window", "text", "mask", "n_repeated").repartition("conv_id").sortWithinPartitions("conv_id", "window")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +278,8 @@ p AS (
          lag(chars, 1, 0) OVER (PARTITION BY conv_id ORDER BY i) AS c1, lag(chars, 2, 0) OVER (PARTITION BY conv_id ORDER BY i) AS c2
   FROM t),
 h AS (
-  SELECT *, i > 1 AND NOT (i = 2 AND sys_n > 0) AND n1 <= {HISTORY_TOKENS} AS one,
-         i > 2 AND NOT (i = 3 AND sys_n > 0) AND n1 + n2 <= {HISTORY_TOKENS} AS two FROM p),
+  SELECT *, i > 1 AND NOT (i = 2 AND sys_n > 0) AND n1 <= {HISTORY_TOKENS} AND sys_n + n1 + n <= {BUDGET} AS one,
+         i > 2 AND NOT (i = 3 AND sys_n > 0) AND n1 + n2 <= {HISTORY_TOKENS} AND sys_n + n1 + n2 + n <= {BUDGET} AS two FROM p),
 o AS (
   SELECT conv_id, i, upto - n AS from_n, chars_upto - chars AS from_chars,
          CASE WHEN i = 1 THEN 0 ELSE sys_n + CASE WHEN two THEN n1 + n2 WHEN one THEN n1 ELSE 0 END END AS fixed,
