@@ -88,6 +88,7 @@ def _thresholds(keys: DataFrame, plan: DataFrame) -> DataFrame:
         found = here.groupBy("source").agg(
             F.min(F.struct(F.col(level).alias("at"), (F.col("end") - F.col("words")).alias("base"), "part")).alias("x")
         ).select("source", F.col("x.at").alias("at"), F.col("x.base").alias("base"), F.col("x.part").alias("part"))
+        found = staged(found, "mix-buckets")
         scope = _at_source(scope, found.select("source", "at")).where(F.col(level) == F.col("at")).drop("at")
     run = Window.partitionBy("source").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     groups = scope.groupBy("source", "key").agg(F.max("size").alias("size"), F.count("*").alias("n"))
