@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -15,7 +17,7 @@ def labelled(spark):
 
 @pytest.fixture(scope="module")
 def net(labelled):
-    return langid.fit(labelled, 150, 3)
+    return langid.fit(labelled, 150)
 
 
 def test_gradients():
@@ -69,12 +71,62 @@ def test_pooled_is_the_mean_of_positions(net):
         assert p[0] == pytest.approx(p[2], abs=1e-5)
 
 
-def test_sample_is_bounded(spark, labelled):
-    languages, windows, lengths, labels = langid.sample_windows(labelled, 20, 2)
-    assert languages == ["en", "fr"] and len(windows) <= 2 * 2 * 60
+def plain_positions(net, text):
+    """The network's probabilities at every byte, by scalar loops."""
+    data = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode()
+    units, out = net.states[0].shape[1], []
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def run(side, piece):
+        x, u, h, states = net.inputs[side].tolist(), net.states[side].tolist(), [0.0] * units, []
+        for byte in piece:
+            into = [sum(u[i][j] * h[j] for j in range(units)) for i in range(3 * units)]
+            z = [sigmoid(x[i][byte] + into[i]) for i in range(units)]
+            r = [sigmoid(x[units + i][byte] + into[units + i]) for i in range(units)]
+            n = [math.tanh(x[2 * units + i][byte] + r[i] * into[2 * units + i]) for i in range(units)]
+            h = [(1 - z[i]) * n[i] + z[i] * h[i] for i in range(units)]
+            states.append(h)
+        return states
+
+    for at in range(0, len(data), langid.WINDOW):
+        piece = data[at : at + langid.WINDOW]
+        ahead, back = run(0, piece), run(1, piece[::-1])[::-1]
+        for a, b in zip(ahead, back, strict=True):
+            e = [math.exp(sum(w * v for w, v in zip(row, a + b, strict=True)) + float(c[0])) for row, c in zip(net.out.tolist(), net.bias, strict=True)]
+            out.append([v / sum(e) for v in e])
+    return out
+
+
+def test_against_plain_loops(spark, net):
+    texts = [EN, FR.upper() + "é!", "x", "a" * 65, "Ж" * 40 + EN]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for k, text in enumerate(texts):
+        p = plain_positions(net, text)
+        means = [sum(c) / len(p) for c in zip(*p, strict=True)]
+        assert got[k].score == pytest.approx(max(means), abs=1e-4)
+        assert got[k].lang_pred == net.languages[means.index(max(means))]
+        labels = langid.label_positions(net, text)
+        assert [s for _, s in labels] == pytest.approx([max(x) for x in p], abs=1e-4)
+
+
+def test_sample_is_bounded_and_whole(spark, labelled):
+    languages, windows, lengths, labels = langid.sample_windows(labelled, 20, 1 << 30)
+    assert languages == ["en", "fr"] and len(windows) <= 2 * 60 * 5
     again = labelled.unionByName(labelled).unionByName(labelled)
-    assert len(langid.sample_windows(again, 10_000, 2)[1]) == len(langid.sample_windows(labelled, 10_000, 2)[1])
+    assert len(langid.sample_windows(again, 10_000, 1 << 30)[1]) == len(langid.sample_windows(labelled, 10_000, 1 << 30)[1])
+    assert len(langid.sample_windows(labelled, 10_000, 10_000)[1]) * langid.WINDOW < 20_000
     assert langid.fit(labelled.where("lang is null")) is None
+    long = " ".join(f"mot{k}" for k in range(5000))
+    rows = [(1, long, "fr"), (2, "ab", "en"), (2, "ab", "en")]
+    languages, windows, lengths, labels = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600, 1 << 30)
+    whole = [b"".join(w[:n].tobytes() for w, n, y in zip(windows, lengths, labels, strict=True) if y == k) for k in range(2)]
+    assert whole == [b"ab", long.encode()]
+
+
+def test_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, "text " * 5, f"l{i % 7}") for i in range(20)]
+    assert langid.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600, 1 << 30)[0] == ["l0", "l1", "l2"]
 
 
 def test_held_out_accuracy(spark):

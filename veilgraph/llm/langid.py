@@ -12,8 +12,6 @@ one long contiguous row and one step of many windows is a few array calls.
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,15 +22,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import LOWER, raw_text, text_blocks
+from veilgraph.llm.textops import fresh, quoted, without
+from veilgraph.plans.staging import staged
 
 WINDOW = 64
 UNITS = 8
 #: Windows that are computed together: their gates stay in a core's cache.
 LANES = 2048
 
-#: Bounds of the training sample: documents per language, and windows of
-#: WINDOW characters from anywhere in each.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 6
+#: Bounds of the training sample: documents per language, bytes of their
+#: texts in all, and languages (those with most documents).
+DOCS_PER_LANGUAGE, SAMPLE_BYTES, LANGUAGES = 600, 8 << 20, 256
+#: Windows that training goes over, about; each sampled one once at least.
+STEPS = 100_000
 
 UNKNOWN = "und"
 
@@ -112,7 +114,7 @@ def _probabilities(net: Network, steps: np.ndarray, mask: np.ndarray | None) ->
         yield p
 
 
-def train(net: Network, windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, *, epochs: int = 4, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Network:
+def train(net: Network, windows: np.ndarray, lengths: np.ndarray, labels: np.ndarray, *, epochs: int = 4, batch: int = 256, rate: float = 0.02, seed: int = 11) -> Network:
     """Adam on the mean cross-entropy of all positions. windows: bytes
     (windows, WINDOW), lengths of them in use."""
     rng = np.random.default_rng(seed)
@@ -211,34 +213,46 @@ def label_positions(net: Network, text: str) -> list[tuple[str, float]]:
     return out
 
 
-def sample_windows(labelled: DataFrame, docs_per_language: int, windows_per_doc: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Languages, windows, their lengths and labels from some
-    docs_per_language rows (doc_id, text, lang) of each language, those with
-    the smallest hashes of id and text."""
-    rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text", "doc_id", F.xxhash64("doc_id", "text").alias("key"))
+def sample_windows(labelled: DataFrame, docs_per_language: int, sample_bytes: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, and all windows, their lengths and labels, of the whole
+    texts of some docs_per_language rows (doc_id, text, lang) of each language,
+    those with the smallest hashes of id and text; of fewer where the texts
+    are so long that all languages' would exceed sample_bytes."""
+    rows = labelled.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = staged(sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES), "langid-sizes")
     # hashes are even, so a cut-off at the wanted share of their range bounds the sample without ordering any rows
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    cut_off = lambda n: min((1 << 63) - 1, -(1 << 63) + int(docs_per_language / n * (1 << 64)))
-    within = [(F.col("lang") == name) & (F.col("key") <= cut_off(n)) for name, n in sizes.items()]
-    rows = rows.where(functools.reduce(operator.or_, within, F.lit(False))).dropDuplicates(["lang", "key"])  # else rows that share id and text would all come
-    last = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-    cut = lambda k: F.substring(F.col("text"), (F.pmod(F.xxhash64(F.col("doc_id"), k), last) + 1).cast("int"), F.lit(WINDOW))
-    rows = rows.select("lang", "key", F.explode(F.transform(F.sequence(F.lit(1), F.lit(windows_per_doc)), cut)).alias("cut"))
-    found = sorted(map(tuple, rows.select("lang", "key", "cut").collect()))
+    share = F.least(F.lit(float(docs_per_language)) / F.col("n"), F.lit(sample_bytes / max(sizes.count(), 1)) / F.col("bytes"), F.lit(1.0))
+    cuts = sizes.select(F.col("lang").alias("of"), (share * 2.0**64 - 2.0**63).cast("long").alias("cut"))
+    chosen = rows.join(cuts, F.col("lang") == F.col("of")).where("key <= cut")
+    # rows that share id and text would all come: one of them does
+    found = sorted(map(tuple, chosen.groupBy("lang", "key").agg(F.max("text").alias("text")).collect()))
     languages = sorted({x[0] for x in found})
-    raws = [x[2].encode()[:WINDOW].translate(LOWER) for x in found]
-    windows = np.frombuffer(b"".join(r.ljust(WINDOW, b"\0") for r in raws), np.uint8).reshape(-1, WINDOW)
     number = {name: k for k, name in enumerate(languages)}
-    return languages, windows, np.array([len(r) for r in raws]), np.array([number[x[0]] for x in found])
-
-
-def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC) -> Network | None:
-    """A network trained on a bounded sample of (doc_id, text, lang), None if
-    no row has a text and a language."""
-    languages, windows, lengths, labels = sample_windows(labelled, docs_per_language, windows_per_doc)
+    raws = [x[2].encode().translate(LOWER) for x in found]
+    sizes_ = np.array([len(r) for r in raws], np.int64)
+    pieces = -(-sizes_ // WINDOW)
+    padded = b"".join(r.ljust(int(n) * WINDOW, b"\0") for r, n in zip(raws, pieces, strict=True))
+    last = np.cumsum(pieces) - 1
+    lengths = np.full(int(pieces.sum()), WINDOW)
+    lengths[last] = sizes_ - (pieces - 1) * WINDOW
+    labels = np.repeat(np.array([number[x[0]] for x in found], np.int64), pieces)
+    return languages, np.frombuffer(padded, np.uint8).reshape(-1, WINDOW), lengths, labels
+
+
+def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
+    """A network trained on a bounded sample of (doc_id, text, lang).
+
+    Defined results: None if no row has a text and a language; rows without
+    either are left out; sampled texts are read whole; rows that share id and
+    text count once; where there are more than LANGUAGES languages, those with
+    most rows are learned (ties to the smaller name); reruns agree; extra
+    columns are ignored.
+    """
+    languages, windows, lengths, labels = sample_windows(labelled, docs_per_language, sample_bytes)
     if not languages:
         return None
-    epochs = int(np.clip(40_000 // len(windows), 3, 40))
+    epochs = int(np.clip(round(STEPS / len(windows)), 1, 40))
     return train(Network.fresh(languages), windows, lengths, labels, epochs=epochs)
 
 
@@ -248,19 +262,20 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
 
     Defined results: null texts and texts without a letter get 'und' and
     score 0, as does every text if there is no network; repeated rows get
-    equal results; an empty table stays empty; input columns named lang_pred
-    or score are replaced.
+    equal results; very long texts are read whole; of equal probabilities the
+    first language's counts; an empty table stays empty; input columns named
+    lang_pred or score, in any letter case, are replaced, others may have any
+    name.
     """
-    from veilgraph.llm.textops import without
-
-    kept = without(docs, ("lang_pred", "score", "_langid_text"))
-    rows = kept.withColumn("_langid_text", docs[text_col])
+    kept = without(docs, ("lang_pred", "score"))
+    (own,) = fresh(docs, "text")
+    rows = docs.select(*[quoted(c) for c in kept.columns], docs[text_col].alias(own))
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for block in text_blocks(batches, "_langid_text"):
-            texts = block.column("_langid_text")
+        for block in text_blocks(batches, own):
+            texts = block.column(own)
             lettered = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             if model is not None and len(texts):
@@ -268,8 +283,8 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> Da
                 best = p.argmax(axis=1)
                 names[lettered] = np.array(model.languages, object)[best[lettered]]
                 scores[lettered] = np.clip(p.max(axis=1), 0, 1)[lettered]
-            columns = [c for name, c in zip(block.schema.names, block.columns, strict=True) if name != "_langid_text"]
-            fields = [n for n in block.schema.names if n != "_langid_text"]
+            columns = [c for name, c in zip(block.schema.names, block.columns, strict=True) if name != own]
+            fields = [n for n in block.schema.names if n != own]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores)], [*fields, "lang_pred", "score"])
 
     schema = kept.schema.add("lang_pred", "string").add("score", "double")
