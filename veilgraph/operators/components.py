@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.plans.staging import staged
+from veilgraph.plans.staging import drop, staged
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -42,7 +42,9 @@ def component_links(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     now = staged(ends.distinct(), "components")
     seen = None
     while True:
-        now = staged(_small(_large(now)), "components")
+        before = now
+        now = staged(_small(_large(before)), "components")
+        drop(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return now.select(F.col("u").alias("vid"), F.col("v").alias("component"))

@@ -3,81 +3,125 @@
 Iterative operators and multi-pass operators write what they have so far to
 the cluster's shared folder, so that a lost executor costs a re-read and not
 the whole history.  The folder is the one the session names in
-``spark.checkpoint.dir``; only where that is unset (tests, a notebook) a
-temporary one is made.
+``spark.checkpoint.dir``; only a local master without that setting (tests, a
+notebook) gets a temporary one.
 """
 
 from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCK = threading.Lock()
 _STAGED: list[str] = []
+_SCOPES = threading.local()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES: dict[int, list] = {}  # by session: writes under way, the setting before the first
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, made if the session names none."""
+    """The session's checkpoint folder. On a local master one is made if the
+    session names none; elsewhere that is an error, as executors could not
+    read the driver's folders."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilgraph-"))
     return context.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While a write lasts, shuffle files go as soon as they are read; the
+    session's own setting is back when the last of several writes ends."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        state = _WRITES.setdefault(key, [0, spark.conf.get(_CLEAN, "false")])
+        state[0] += 1
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(_CLEAN, state[1])
+                del _WRITES[key]
+
+
 def staged(df: DataFrame, name: str = "rows", partition_by: list[str] | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back.
 
     Columnar and compressed, so it suits wide or long intermediate tables
     that are read several times.  The shuffle files of the write go when it
-    ends: nothing reads them again.  drop_staged() removes tables that are no
-    longer needed.
+    ends: nothing reads them again.  The table stays until drop() or
+    drop_staged().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaning(spark):
         writer.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     _STAGED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in getattr(_SCOPES, "open", []):
+        scope.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
 
 
-@contextlib.contextmanager
-def steady_scans(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, tables are split alike in every scan.
+def steady_scans(spark: SparkSession) -> None:
+    """From now on tables are split alike in every scan of the session.
 
     Spark cuts files by the number of cores that it has just now, so a lost
     executor could shift the rows of a later scan's partitions.  Operators
-    that number rows by partition and read a table more than once pin it.
+    that number rows by partition and read a table more than once pin it,
+    unless the session has; results are read when the caller asks for them,
+    so it stays pinned.
     """
     key = "spark.sql.files.minPartitionNum"
-    own = spark.conf.get(key, None)
-    if own is None:
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        if own is None:
-            spark.conf.unset(key)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Deletes the tables staged so far by this driver process."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _STAGED:
-        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextlib.contextmanager
+def staging_scope() -> Iterator[list[str]]:
+    """The paths of the tables that this thread stages while it lasts, for
+    drop_staged() once the query's result has been read."""
+    paths: list[str] = []
+    _SCOPES.open = [*getattr(_SCOPES, "open", []), paths]
+    try:
+        yield paths
+    finally:
+        _SCOPES.open = [s for s in _SCOPES.open if s is not paths]
+
+
+def drop_staged(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes the given staged tables; all of this driver process if none
+    are given."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(_STAGED if paths is None else paths):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        with contextlib.suppress(ValueError):
+            _STAGED.remove(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that staged() returned, once nothing
+    reads it any more; of any other it does nothing."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        drop_staged(df.sparkSession, [path])
 
 
 def input_bytes(df: DataFrame) -> int:
