@@ -20,7 +20,8 @@ def links_of(spark, values, radius):
 
 
 def test_links_join_what_they_should(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 16)
+    monkeypatch.setattr(simhash, "STRIPE", 16)
+    monkeypatch.setattr(simhash, "LINKS", 20)
     rng = np.random.default_rng(3)
     values = set(rng.integers(0, 1 << 63, 300).tolist()) | {0, 1, 3, 7, (1 << 64) - 1, 1 << 63}
     for v in list(values)[:40]:
@@ -51,6 +52,22 @@ def test_dense_groups_stay_small():
     assert len(a) == len(ball) - 1
 
 
+def test_keep_one_knows_rows_by_number(spark, monkeypatch):
+    """Rows of one id, or equal throughout, and columns of any name."""
+    rows = [(1, "one two three four", 0, 5), (1, "one two three four", 0, 5), (1, "other words in this", 0, 5), (None, None, 0, 5), (None, "", 0, 5), (2, "ONE two three four", 0, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _number long, `kept.x` long").repartition(2)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, "one two three four"), (1, "other words in this"), (None, "")], key=str)
+    assert simhash.keep_one(df.where("1 = 0")).collect() == []
+
+
+def test_string_ids(spark):
+    df = spark.createDataFrame([("b", "x y z"), ("a", "X y z"), ("c", "q")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [("a", "a"), ("b", "a"), ("c", "c")]
+
+
 def test_near_duplicates(spark):
     long = " ".join(f"w{k}" for k in range(400))
     texts = [long, long + " more", "unlike " * 3, None, "", "x y z", "X Y Z", long, None]

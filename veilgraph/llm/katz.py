@@ -361,8 +361,8 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     three times and must give the same rows in the same partitions (a stored
     table does).
     """
-    with steady_scans(docs.sparkSession):
-        return _scores(docs, id_col, text_col, held_col)
+    steady_scans(docs.sparkSession)
+    return _scores(docs, id_col, text_col, held_col)
 
 
 def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataFrame:

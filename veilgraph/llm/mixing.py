@@ -140,8 +140,8 @@ def mix_sources(
     read twice and must give the same rows in the same partitions (a stored
     table does).
     """
-    with steady_scans(docs.sparkSession):
-        return _mixed(docs, weights, total_ratio, max_epochs, seed, id_col, text_col, source_col)
+    steady_scans(docs.sparkSession)
+    return _mixed(docs, weights, total_ratio, max_epochs, seed, id_col, text_col, source_col)
 
 
 def _mixed(docs: DataFrame, weights: DataFrame | list[float], total_ratio: float, max_epochs: float, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:

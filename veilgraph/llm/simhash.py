@@ -5,8 +5,13 @@ tiles by the population counts of their four 16-bit parts.  Two fingerprints
 within the radius have population counts that differ by no more than the
 radius over all parts, so only pairs of tiles that near are compared: exactly,
 every fingerprint of one with every one of the other, by numpy exclusive-or
-and bit counts.  A tile holds a bounded number of fingerprints, so a crowded
-count class is many tiles whose pairs are spread over tasks.
+and bit counts.
+
+Tiles travel in stripes of one total population count, some hundred thousand
+fingerprints each, of which a class has as many as it needs.  A task compares
+one pair of stripes whose totals are within the radius, so a fingerprint moves
+once for each stripe near its own, not once for each tile, and however crowded
+a class is, no task holds more than two stripes.
 
 Each comparison returns a spanning forest of the links that it found, which
 joins the same fingerprints with at most one link per fingerprint; connected
@@ -24,12 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgraph.llm.blocks import LOWER, split_words, text_blocks
+from veilgraph.llm.blocks import LOWER, pack, split_words, text_blocks, unpack
+from veilgraph.llm.textops import fresh, quoted
 from veilgraph.operators.components import component_links
-from veilgraph.plans.staging import staged
+from veilgraph.plans.staging import staged, steady_scans
 
-#: Fingerprints in a tile, about.
-TILE = 2048
+#: Fingerprints in a stripe, about, and links that are held before they are
+#: reduced to a forest.
+STRIPE, LINKS = 1 << 17, 1 << 20
 #: Parts of a fingerprint, and the base in which their counts are written:
 #: larger than a count plus twice any radius, so that neighbours never alias.
 PARTS, PART_BITS, BASE = 4, 16, 64
@@ -60,7 +67,7 @@ def fingerprint(words: list[bytes], width: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, tag: Column | None = None) -> DataFrame:
     """(doc_id, tag, fp) per row of docs; tag is a long that goes along.
-    Null and empty texts get fingerprint 0."""
+    Null and empty texts get fingerprint 0; ids may be of any type."""
 
     def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
@@ -81,12 +88,11 @@ def _part_counts(fp: Column) -> list[Column]:
 
 
 def _near(radius: int) -> list[int]:
-    """Differences of the cell number to the cells within the radius, one of
-    each opposite pair."""
+    """Differences of the cell number to the cells within the radius."""
     steps = range(-radius, radius + 1)
     ball = [d for d in itertools.product(steps, repeat=PARTS) if sum(map(abs, d)) <= radius]
     numbers = [sum(x * BASE**k for k, x in enumerate(d)) for d in ball]
-    return sorted(n for n in numbers if n >= 0)
+    return sorted(numbers)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,59 +117,99 @@ def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = deeper
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the pairs of a tile's fingerprints with another's (or its
-    own) that differ in at most radius bits."""
-    left, right = [], []
-    for at in range(0, len(a), rows):
-        x, y = np.nonzero(np.bitwise_count(a[at : at + rows, None] ^ b[None, :]) <= radius)
-        x += at
+    own) that differ in at most radius bits, some rows' comparisons at once."""
+    x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    step = max(1, rows // max(1, len(b)))
+    for at in range(0, len(a), step):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
+        i += at
         if same:
-            x, y = x[x < y], y[x < y]
-        left.append(x)
-        right.append(y)
-    x, y = np.concatenate(left), np.concatenate(right)
+            i, j = i[i < j], j[i < j]
+        x, y = np.concatenate([x, i]), np.concatenate([y, j])
+        if len(x) > LINKS:
+            kept = forest(x, y if same else y + len(a))
+            x, y = x[kept], y[kept]
     if len(x) > 1:
         kept = forest(x, y if same else y + len(a))
         x, y = x[kept], y[kept]
     return a[x], b[y]
 
 
+def _tiles(cells: np.ndarray) -> dict[int, slice]:
+    """Where each cell stands among sorted cells."""
+    if not len(cells):
+        return {}
+    cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
+    return {int(cells[a]): slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)}
+
+
+def stripe_links(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between two stripes (cells, fingerprints), in
+    order of cells, or within one."""
+    left, right = _tiles(a[0]), _tiles((b or a)[0])
+    src, dst, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for cell, here in left.items():
+        for step in _near(radius):
+            if (b is None and step < 0) or (there := right.get(cell + step)) is None:
+                continue
+            x, y = tile_links(a[1][here], (b or a)[1][there], b is None and not step, radius)
+            src.append(x)
+            dst.append(y)
+            held += len(x)
+            if held > LINKS:
+                x, y = _forest_of(src, dst)
+                src, dst, held = [x], [y], 0
+    return _forest_of(src, dst)
+
+
+def _forest_of(src: list[np.ndarray], dst: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.concatenate(src), np.concatenate(dst)
+    if not len(x):
+        return x, y
+    names, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    kept = forest(at[: len(x)], at[len(x) :])
+    return x[kept], y[kept]
+
+
 def near_links(fps: DataFrame, radius: int) -> DataFrame:
     """(src, dst) between distinct fingerprints (column fp): enough links to
-    join all that a chain of differences of at most radius bits joins."""
+    join all that a chain of differences of at most radius bits joins. Null
+    fingerprints are left out; an empty table gives no link."""
     if not 0 <= radius < (BASE - PART_BITS) // 2:
         raise ValueError("radius out of range")
     cell = sum((c.cast("long") * BASE**k for k, c in enumerate(_part_counts(F.col("fp")))), F.lit(0).cast("long"))
-    rows = fps.select("fp", cell.alias("cell"))
-    # at most 17**4 cells, whatever the input: small enough to broadcast
-    crowd = staged(rows.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "simhash-cells")
-    placed = rows.join(F.broadcast(crowd), "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    tiles = staged(placed.groupBy("cell", "tile").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
-    other = crowd.select(F.col("cell").alias("cell_b"), F.col("tiles").alias("tiles_b"))
-    near = F.explode(F.array(*[F.lit(d).cast("long") for d in _near(radius)]))
-    pairs = tiles.withColumn("step", near).withColumn("cell_b", F.col("cell") + F.col("step")).join(F.broadcast(other), "cell_b")
-    first = F.when(F.col("step") == 0, F.col("tile")).otherwise(0)
-    pairs = pairs.withColumn("tile_b", F.explode(F.sequence(first, F.col("tiles_b") - 1)))
-    b = tiles.select(F.col("cell").alias("cell_b"), F.col("tile").alias("tile_b"), F.col("fps").alias("fps_b"))
-    same = (F.col("cell") == F.col("cell_b")) & (F.col("tile") == F.col("tile_b"))
-    pairs = pairs.join(b, ["cell_b", "tile_b"]).select("fps", "fps_b", same.alias("same"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [batch.column(k) for k in range(2)]
-            values = [c.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in cols]
-            at = [np.concatenate([[0], np.cumsum(np.diff(c.offsets.to_numpy()))]) for c in cols]
-            src, dst = [], []
-            for k, is_same in enumerate(batch.column(2).to_pylist()):
-                x, y = tile_links(values[0][at[0][k] : at[0][k + 1]], values[1][at[1][k] : at[1][k + 1]], is_same, radius)
-                src.append(x)
-                dst.append(y)
-            if src:
-                arrays = [pa.array(np.concatenate(v).view(np.int64)) for v in (src, dst)]
-                yield pa.RecordBatch.from_arrays(arrays, ["src", "dst"])
-
-    return pairs.mapInArrow(compare, "src long, dst long")
+    rows = fps.where("fp is not null").select("fp", F.bit_count("fp").cast("int").alias("total"), cell.alias("cell"))
+    # at most 65 classes, whatever the input: small enough to broadcast
+    crowd = staged(rows.groupBy("total").agg(F.ceil(F.count("*") / STRIPE).cast("int").alias("stripes")), "simhash-classes")
+    placed = rows.join(F.broadcast(crowd), "total").withColumn("stripe", F.pmod(F.xxhash64("fp"), F.col("stripes")).cast("int"))
+
+    def gather(table: pa.Table) -> pa.Table:
+        cells, values = table.column("cell").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        order = np.lexsort((values, cells))
+        return pa.table({"total": table.column("total").slice(0, 1), "stripe": table.column("stripe").slice(0, 1), "blob": pa.array([pack(cells[order], values[order])], pa.binary())})
+
+    stripes = staged(placed.groupBy("total", "stripe").applyInArrow(gather, "total int, stripe int, blob binary"), "simhash-stripes")
+    # every stripe goes to its pairs with those of its own and the next radius totals
+    other = crowd.select(F.col("total").alias("total_b"), F.col("stripes").alias("stripes_b"))
+    names = crowd.select(F.col("total").alias("total_a"), F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe_a"))
+    pairs = names.join(F.broadcast(other), (F.col("total_b") >= F.col("total_a")) & (F.col("total_b") <= F.col("total_a") + radius))
+    first = F.when(F.col("total_a") == F.col("total_b"), F.col("stripe_a")).otherwise(0)
+    pairs = pairs.where(first <= F.col("stripes_b") - 1).withColumn("stripe_b", F.explode(F.sequence(first, F.col("stripes_b") - 1)))
+    name = F.struct("total_a", "stripe_a", "total_b", "stripe_b")
+    end = lambda side, k: F.struct(F.lit(k).alias("side"), F.col(f"total_{side}").alias("total"), F.col(f"stripe_{side}").alias("stripe"))
+    ends = pairs.select(name.alias("pair"), F.explode(F.array(end("a", 0), end("b", 1))).alias("x"))
+    same = (F.col("pair.total_a") == F.col("pair.total_b")) & (F.col("pair.stripe_a") == F.col("pair.stripe_b"))
+    ends = ends.select(F.to_json("pair").alias("pair"), "x.*", same.alias("same")).where("side = 0 or not same")
+    dealt = ends.join(stripes, ["total", "stripe"]).select("pair", "side", "blob")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = dict(zip(table.column("side").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        x, y = stripe_links(unpack(sides[0]), unpack(sides[1]) if 1 in sides else None, radius)
+        return pa.table({"src": pa.array(x.view(np.int64)), "dst": pa.array(y.view(np.int64))})
+
+    return dealt.groupBy("pair").applyInArrow(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", tag: Column | None = None) -> DataFrame:
@@ -174,8 +220,9 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
 
     Defined results: null and empty texts have fingerprint 0 and link like
     any other; repeated rows each get a row; a null id never becomes a
-    component_id unless the component has no other (then it is null); an
-    empty table gives an empty result; extra columns are ignored.
+    component_id unless the component has no other (then it is null); very
+    long texts are read whole; an empty table gives an empty result; extra
+    columns are ignored.
     """
     rows = staged(fingerprints(docs, id_col, text_col, width, seed, tag), "simhash-rows")
     groups = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
@@ -188,17 +235,23 @@ def near_duplicates(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: i
 
 def keep_one(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near duplicates: that with the
-    smallest id (null last), of equal ids that with the smallest hash of all
-    columns, of rows equal throughout any one."""
-    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    found = near_duplicates(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col, tag=own)
+    smallest id (null last), of equal ids the first in the table.
+
+    Defined results: as near_duplicates; rows are known by their number in the
+    table, so rows equal throughout are one group of which one stays, and
+    columns may have any name.  docs is read twice and must give the same rows
+    in the same partitions (a stored table does).
+    """
+    steady_scans(docs.sparkSession)
+    number = F.monotonically_increasing_id()
+    found = near_duplicates(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col, tag=number)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")
-    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.tag").alias("_simhash_tag")).distinct()
-    # as many rows stay as there are groups, so this is a merge join at any size; the window below reuses its layout
-    tagged = docs.withColumn("_simhash_own", own)
-    kept = tagged.join(staged(first, "simhash-first").hint("merge"), F.col("_simhash_own") == F.col("_simhash_tag"), "left_semi")
-    turn = F.row_number().over(Window.partitionBy("_simhash_own").orderBy("_simhash_own"))
-    return kept.withColumn("_simhash_turn", turn).where("_simhash_turn = 1").select(*[kept[f"`{c}`"] for c in docs.columns])
+    own, kept = fresh(docs, "number", "kept")
+    first = found.groupBy("root").agg(F.min(order).alias("x")).select(F.col("x.tag").alias(kept))
+    # as many rows stay as there are groups, so this is a merge join at any size
+    numbered = docs.withColumn(own, number)
+    chosen = numbered.join(staged(first, "simhash-first").hint("merge"), F.col(own) == F.col(kept), "left_semi")
+    return chosen.select(*[quoted(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
