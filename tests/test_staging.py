@@ -33,6 +33,14 @@ def test_the_session_keeps_its_setting(spark):
     assert spark.conf.get(staging._CLEAN) == before
 
 
+def test_stored(spark):
+    table = staging.staged(spark.range(100).selectExpr("id", "id % 7 AS k", "'x' AS `+ odd`"), "table")
+    plain = table.where("k > 2").select("id", "+ odd")
+    assert staging.stored(plain) is plain and staging.stored(table) is table
+    for moved in (plain.repartition(3), table.distinct(), table.join(plain.select("id"), "id"), spark.range(3), table.limit(3), plain.union(plain)):
+        assert staging.stored(moved) is not moved
+
+
 def test_no_local_folder_on_a_cluster():
     class Context:
         master = "spark://head:7077"

@@ -93,6 +93,18 @@ def steady_scans(spark: SparkSession) -> None:
         spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df, if it does no more than scan one stored table, project and filter;
+    else a staged copy. Either gives the same rows in the same partitions
+    whenever it is read, so that rows can be known by their number: anything
+    with an exchange may deal rows anew as soon as other columns are read."""
+    steady_scans(df.sparkSession)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split(" ")[0] for line in plan.splitlines() if line.strip()]
+    plain = sum(n == "Relation" for n in nodes) == 1 and set(nodes) <= {"Relation", "Project", "Filter"}
+    return df if plain else staged(df, name)
+
+
 @contextlib.contextmanager
 def staging_scope() -> Iterator[list[str]]:
     """The paths of the tables that this thread stages while it lasts, for
