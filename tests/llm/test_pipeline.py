@@ -10,6 +10,8 @@ import corpus_pipeline
 from veilgraph.llm import langid, mixing, sharding
 
 from . import plain
+from .test_langid import plain_positions
+from .test_mixing import filled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,14 +51,18 @@ def test_columns(stages):
 
 
 def test_language_stage(spark, stages, folder):
+    """Against the network's scalar form: a document stays if it has a letter
+    and its best language's mean probability is at least LEAST_SCORE."""
     before, _, after = stages[0]
     gone = Counter(before) - Counter(after)
     assert not Counter(after) - Counter(before)
     assert {9001, 9002, 9003} <= {x[0] for x in gone}
     net = langid.fit(spark.read.parquet(f"{folder}/documents.parquet").where(~langid.held_out()).select("doc_id", "text", "lang"))
-    for row in gone:
-        labels = langid.label_positions(net, row[1] or "")
-        assert not any(c.isalpha() for c in row[1] or "") or labels
+    short = sorted({row for row in before if len(row[1] or "") < 700}, key=str)[:25]
+    for row in short:
+        p = plain_positions(net, row[1]) if row[1] else []
+        sure = bool(p) and any(c.isalpha() for c in row[1]) and max(sum(c) / len(p) for c in zip(*p, strict=True)) >= corpus_pipeline.LEAST_SCORE
+        assert (row not in gone) == sure
 
 
 def test_near_duplicate_stage(stages):
@@ -82,14 +88,27 @@ def test_decontamination_stage(spark, stages, folder):
     assert 9007 not in {r[0] for r in after}
 
 
-def test_mixing_stage(spark, stages):
+def test_mixing_stage(stages):
+    """Against a plain mix: targets by filling, then each source's documents
+    in the order of their keyed hashes."""
     before, _, after = stages[3]
-    docs = spark.createDataFrame(before, "doc_id long, text string, lang string, source string, n_chars long")
-    mixed = mixing.mix_sources(docs, corpus_pipeline.SOURCE_WEIGHTS, seed=mixing.SEED)
+    sizes, of = Counter(), defaultdict(list)
+    for row in before:
+        sizes[row[3]] += len(plain.words(row[1]))
+        of[row[3]].append(row)
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weights = {s: corpus_pipeline.SOURCE_WEIGHTS[k % 3] for k, s in enumerate(order)}
+    target = filled(sizes, weights, corpus_pipeline.MIX_RATIO * sum(sizes.values()), corpus_pipeline.MAX_EPOCHS)
+    key = lambda row: hashlib.md5("|".join([mixing.SEED, "" if row[0] is None else str(row[0]), hashlib.md5((row[1] or "").encode()).hexdigest()]).encode()).hexdigest()[:15]
     want = Counter()
-    for r in mixed.select("doc_id", "repeats").collect():
-        want[r.doc_id] += r.repeats
-    assert Counter(r[0] for r in after) == +want
+    for s, rows in of.items():
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        left = target[s] - whole * sizes[s]
+        for row in sorted(rows, key=key):
+            n = len(plain.words(row[1]))
+            want[row] += whole + (left > 0 and 2 * left >= n)
+            left -= n
+    assert Counter(after) == +want
     assert max(Counter(after).values()) <= 2
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import LOWER, deltas, encode, hash64, narrow, pack, split_words, text_blocks, undelta, unpack
-from veilgraph.plans.staging import shuffle_width, staged, steady_scans
+from veilgraph.plans.staging import shuffle_width, staged, stored
 
 #: Counts up to K are discounted.
 K = 5
@@ -358,10 +358,9 @@ def katz_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     is false; repeated rows count and are scored each; without training rows
     every token has probability 1 (there is only the unknown one); an empty
     table gives an empty result; extra columns are ignored.  docs is read
-    three times and must give the same rows in the same partitions (a stored
-    table does).
+    three times; unless it is a stored table, a copy is staged.
     """
-    steady_scans(docs.sparkSession)
+    docs = stored(docs)
     return _scores(docs, id_col, text_col, held_col)
 
 

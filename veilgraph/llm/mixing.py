@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilgraph.llm.textops import fresh, keyed_hash, n_words, quoted, without
 from veilgraph.operators.ranking import ranked
-from veilgraph.plans.staging import staged, steady_scans
+from veilgraph.plans.staging import staged, stored
 
 #: Bits of the sampling key that each of the two histogram levels resolves.
 _LEVEL_BITS = 10
@@ -137,10 +137,9 @@ def mix_sources(
     a row at most; an empty table gives an empty result; input columns named
     like an output column, in any letter case, are replaced, others may have
     any name.  Reruns agree: the sample is keyed by seed, id and text.  docs is
-    read twice and must give the same rows in the same partitions (a stored
-    table does).
+    read twice; unless it is a stored table, a copy is staged.
     """
-    steady_scans(docs.sparkSession)
+    docs = stored(docs)
     return _mixed(docs, weights, total_ratio, max_epochs, seed, id_col, text_col, source_col)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from veilgraph.llm.blocks import LOWER, pack, split_words, text_blocks, unpack
 from veilgraph.llm.textops import fresh, quoted
 from veilgraph.operators.components import component_links
-from veilgraph.plans.staging import staged, steady_scans
+from veilgraph.plans.staging import staged, stored
 
 #: Fingerprints in a stripe, about, and links that are held before they are
 #: reduced to a forest.
@@ -239,10 +239,10 @@ def keep_one(docs: DataFrame, *, radius: int = 2, width: int = 3, seed: int = 42
 
     Defined results: as near_duplicates; rows are known by their number in the
     table, so rows equal throughout are one group of which one stays, and
-    columns may have any name.  docs is read twice and must give the same rows
-    in the same partitions (a stored table does).
+    columns may have any name.  docs is read twice; unless it is a stored table, a
+    copy is staged.
     """
-    steady_scans(docs.sparkSession)
+    docs = stored(docs)
     number = F.monotonically_increasing_id()
     found = near_duplicates(docs, radius=radius, width=width, seed=seed, id_col=id_col, text_col=text_col, tag=number)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm.blocks import deltas, encode, hash128, narrow, pack, split_words, undelta, unpack
-from veilgraph.plans.staging import input_bytes, shuffle_width, staged, steady_scans
+from veilgraph.plans.staging import input_bytes, shuffle_width, staged, stored
 
 #: Documents in a chunk; a text of LONG bytes or more is a chunk of its own.
 CHUNK_ROWS, LONG = 2048, 64 << 10
@@ -190,11 +190,12 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
 
     Defined results: null and empty texts have no words; rows with equal ids
     don't remove each other's words; a null id counts as larger than any
-    other (and null ids as equal); repeated rows each get a row; an empty
-    table gives an empty result; extra columns are ignored.  docs is read
-    twice and must give the same rows in the same partitions (a stored table
-    does).
+    other (and null ids as equal); other ids are integers; repeated rows each
+    get a row; a very long text is a chunk of its own; an empty table gives an
+    empty result; extra columns are ignored.  docs is read twice; unless it is
+    a stored table, a copy is staged.
     """
+    docs = stored(docs)
     if output not in ("text", "digest"):
         raise ValueError("output is 'text' or 'digest'")
     digest = output == "digest"
@@ -277,8 +278,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
         return pa.table({name: pa.array(out[name], kind) for name, kind in zip(empty, kinds, strict=True)})
 
     state = source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(suspects, _STATE)
-    with steady_scans(docs.sparkSession):
-        state = staged(state, "substring-state", partition_by=["kind"])
+    state = staged(state, "substring-state", partition_by=["kind"])
     least = state.where("kind = 1").select("bucket", "chunk", "blob").groupBy("bucket").applyInArrow(_least_ids, _REQUEST)
 
     def strip(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
