@@ -41,7 +41,7 @@ class Plain:
     def share(self, h, w):
         n, c = self.two[h, w], self.c[h]
         low = any(self.two[h, x] <= katz.K for x in self.after[h])
-        return (self.d2[n] if n <= katz.K else 1) * n / (c + (not low or c > katz.BIG))
+        return (self.d2[n] if n <= katz.K else 1) * n / (c + (not low))
 
     def p(self, h, w):
         if self.two[h, w]:
@@ -114,13 +114,40 @@ def test_spread_start(spark, monkeypatch):
     words are."""
     monkeypatch.setattr(katz, "BIG", 3)
     real, hot = katz._count_bigrams, {}
-    monkeypatch.setattr(katz, "_count_bigrams", lambda parts, found: (hot.update(found), real(parts, found))[1])
+    monkeypatch.setattr(katz, "_count_bigrams", lambda parts, found, known: (hot.update(found), real(parts, found, known))[1])
     docs = [(i, f"w{i % 50} tail" if i % 3 else None) for i in range(600)]
     model = compare(spark, docs)
     start = int(katz.hash64(katz.pa.array([katz._START], katz.pa.large_binary()))[0])
     assert hot[start] == model.one[END]
 
 
+@pytest.mark.parametrize("known", [1, 1 << 14])
+def test_same_estimator_at_every_count(spark, monkeypatch, known):
+    """Contexts with one frequent successor only, or none that is discounted,
+    and a context followed by every word, spread or not; frequent words known
+    everywhere or asked for."""
+    monkeypatch.setattr(katz, "KNOWN", known)
+    words = [f"w{k}" for k in range(30)]
+    docs = [(i, "only ever this " * 12 + " ".join(f"any {w}" for w in words) + (" odd end" if i % 9 == 0 else "")) for i in range(40)]
+    docs += [(1000 + i, f"only {w} any new{i} ever {w}") for i, w in enumerate(words)]
+    scores = []
+    for big in (3, 10_000):
+        monkeypatch.setattr(katz, "BIG", big)
+        compare(spark, docs)
+        df = spark.createDataFrame(rows_of(docs), "doc_id long, text string, held_out boolean")
+        scores.append({r.doc_id: r.score for r in katz.katz_scores(df).collect()})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12)
+
+
+def test_clashing_columns_and_long_text(spark):
+    rows = [(1, "a b " * 60_000, False, 1, 2, "x"), (2, "b a c", True, 1, 2, "x"), (3, None, None, 1, 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, rid long, bucket int, score string")
+    got = {r.doc_id: r for r in katz.katz_scores(df).collect()}
+    assert {k: (r.n_tokens, r.held_out) for k, r in got.items()} == {1: (120_001, False), 2: (4, True), 3: (1, False)}
+    model = Plain(["a b " * 60_000, None])
+    assert got[1].score == pytest.approx(model.score("a b " * 60_000), rel=1e-9) and got[2].score == pytest.approx(model.score("b a c"), rel=1e-9)
+
+
 def test_few(spark):
     compare(spark, [(1, "a a a a")])
     compare(spark, [(None, None)])

@@ -8,16 +8,19 @@ known words and of the unknown one sum to 1.
 
 Counts live in tables that are dealt out by hash of the word (unigrams) and
 of the context (bigrams); a context so frequent that it would crowd its
-bucket is spread by the word that follows it.  Texts come to the tables:
+bucket is spread by the word that follows it, and the most frequent words'
+probabilities are known in every bucket, so that none is asked for in one
+place.  The estimator is the same at every count.  Texts come to the tables:
 each block of documents sends its tokens, as small integers, to the buckets
 of their contexts, and gets a few numbers per document back.  As a text's
 score is a sum over its tokens, the parts add up wherever they are made:
 
     seen      log r - log c(h), and the number of tokens with r = 1..K, whose
               discounts are known only when all buckets have counted
-    unseen    log alpha(h), in the context's bucket, and log P(w), in the
-              word's bucket, where also each context's seen unigram mass is
-              summed, of which alpha needs the complement
+    unseen    log alpha(h), in the context's bucket, and log P(w), there too
+              if the word is among the most frequent, else in the word's
+              bucket, where also each context's seen unigram mass is summed,
+              of which alpha needs the complement
 
 Words are known by a 64-bit hash; two words that share one count as one.
 """
@@ -36,9 +39,11 @@ from veilgraph.plans.staging import shuffle_width, staged, stored
 
 #: Counts up to K are discounted.
 K = 5
-#: Contexts seen more often may be spread over buckets; they always set one
-#: part in c + 1 aside for unseen words.
+#: Contexts seen more often may be spread over buckets.
 BIG = 50_000
+#: Words seen in more than one of so many tokens are known in every bucket;
+#: there are fewer of them than this.
+KNOWN = 1 << 14
 BLOCK_BYTES = 12 << 20
 
 _START, _END = b" ", b"\n"  # no word contains either
@@ -103,8 +108,8 @@ def _table(columns: dict[str, pa.DataType], rows: list[dict]) -> pa.Table:
     return pa.table({name: pa.array([r.get(name) for r in rows], kind) for name, kind in columns.items()})
 
 
-_UNIGRAMS = "bucket int, tokens long, words long, seen array<long>, big array<long>, big_count array<long>, blob binary"
-_UNIGRAM_TYPES = {"bucket": pa.int32(), "tokens": pa.int64(), "words": pa.int64(), "seen": pa.list_(pa.int64()), "big": pa.list_(pa.int64()), "big_count": pa.list_(pa.int64()), "blob": pa.binary()}
+_UNIGRAMS = "bucket int, tokens long, words long, seen array<long>, blob binary"
+_UNIGRAM_TYPES = {"bucket": pa.int32(), "tokens": pa.int64(), "words": pa.int64(), "seen": pa.list_(pa.int64()), "blob": pa.binary()}
 _MIXED = "kind int, bucket int, peer long, seen array<long>, hot array<long>, hot_stats array<double>, blob binary"
 _MIXED_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "peer": pa.int64(), "seen": pa.list_(pa.int64()), "hot": pa.list_(pa.int64()), "hot_stats": pa.list_(pa.float64()), "blob": pa.binary()}
 #: Kinds of rows that the stages pass on. PARTIAL: sums per document of block
@@ -112,8 +117,10 @@ _MIXED_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "peer": pa.int64(), "s
 #: UNSEEN: words of bucket without a seen bigram, from context bucket peer; in
 #: answers, logarithms summed per document of block peer. CONTEXTS: a context
 #: bucket's totals and its unseen tokens. MASS: seen unigram mass of contexts
-#: of bucket. COUNTS: numbers of bigrams by count.
-PARTIAL, BIGRAMS, UNSEEN, CONTEXTS, MASS, COUNTS = range(1, 7)
+#: of bucket. COUNTS: numbers of bigrams by count. PENDING: of block peer the
+#: seen tokens per document after spread contexts that, as far as the bucket
+#: knows, have no discounted successor.
+PARTIAL, BIGRAMS, UNSEEN, CONTEXTS, MASS, COUNTS, PENDING = range(1, 8)
 
 
 def _unigram_parts(parts: int):
@@ -138,15 +145,27 @@ def _merge_unigrams(table: pa.Table) -> pa.Table:
     hashes, counts = hashes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], np.diff(hashes) != 0]))
     hashes, counts = hashes[first], np.add.reduceat(counts, first)
-    big = counts > BIG
     row = {
         "bucket": table.column("bucket")[0].as_py(), "tokens": int(counts.sum()), "words": len(hashes),
         "seen": np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist(),
-        "big": hashes[big].view(np.int64).tolist(), "big_count": counts[big].tolist(), "blob": pack(deltas(hashes), narrow(counts)),
+        "blob": pack(deltas(hashes), narrow(counts)),
     }
     return _table(_UNIGRAM_TYPES, [row])
 
 
+def _often(least: int):
+    """Words (hash, count) of the unigram table seen more than least times."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                gaps, counts = unpack(blob)
+                chosen = counts > least
+                yield pa.RecordBatch.from_arrays([pa.array(undelta(gaps)[chosen].view(np.int64)), pa.array(counts[chosen].astype(np.int64))], ["hash", "count"])
+
+    return look
+
+
 def _token_parts(parts: int, hot: np.ndarray):
     """Each block's tokens by bucket (kind 0 rows: the documents)."""
 
@@ -177,11 +196,22 @@ def _per_doc(doc: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [doc[first], *(np.add.reduceat(v, first) if len(first) else v for v in values)]
 
 
-def _count_bigrams(parts: int, hot: dict[int, int]):
+def _found(sorted_hashes: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of asked are among sorted_hashes, and where."""
+    at = np.searchsorted(sorted_hashes, asked)
+    inside = at < len(sorted_hashes)
+    inside[inside] = sorted_hashes[at[inside]] == asked[inside]
+    return inside, at
+
+
+def _count_bigrams(parts: int, hot: dict[int, int], known: dict[int, float]):
     """One bucket of contexts: counts its bigrams over training documents and
-    looks every token up in them."""
+    looks every token up in them. known: unigram probabilities of the most
+    frequent words."""
     hot_hash = np.array(sorted(hot), np.uint64)
     hot_count = np.array([hot[h] for h in sorted(hot)], np.int64)
+    known_hash = np.array(sorted(known), np.uint64)
+    known_p = np.array([known[h] for h in sorted(known)])
     start = hash64(pa.array([_START], pa.large_binary()))[0]
 
     def count(table: pa.Table) -> pa.Table:
@@ -208,32 +238,42 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
         seen = r > 0
         # per context: occurrences, successors by count, and the mass of the undiscounted
         total = np.bincount(context[train], minlength=len(vocabulary))
-        at = np.searchsorted(hot_hash, vocabulary)
-        is_hot = at < len(hot_hash)
-        is_hot[is_hot] = hot_hash[at[is_hot]] == vocabulary[is_hot]
+        is_hot, at = _found(hot_hash, vocabulary)
         total[is_hot] = hot_count[at[is_hot]]
+        is_known, at = _found(known_hash, vocabulary)
+        p_word = np.zeros(len(vocabulary))
+        p_word[is_known] = known_p[at[is_known]]
         by_count = np.zeros((K, len(vocabulary)))
         for n in range(K):
             by_count[n] = np.bincount(pair_context[r == n + 1], minlength=len(vocabulary))
         rest = np.bincount(pair_context, weights=np.where(r > K, r, 0), minlength=len(vocabulary))
-        over = total + ((by_count.sum(axis=0) == 0) | (total > BIG))
+        lone = by_count.sum(axis=0) == 0  # without discounted successors; of a spread context only here
+        over = total + (lone & ~is_hot)
 
         rows = [{"kind": COUNTS, "bucket": bucket, "seen": np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist()}]
         got = seen[pair]
+        here = ~got & is_known[word]
         share = np.where(got, np.log10(np.maximum(r[pair], 1)) - np.log10(np.maximum(over[context], 1)), 0.0)
+        share[here] = np.log10(p_word[word[here]])
         is_word = vocabulary[context] != start
         known = is_word & (total[context] > 0)
+        pending = got & (is_hot & lone)[context]
         plain = np.where(is_word, np.log10(total[context] + 0.1), 0.0)
         for k, peer in enumerate(peers):
             s = slice(cuts[k], cuts[k + 1])
             sums = _per_doc(docs[k], share[s], plain[s], known[s].astype(np.int64), *((r[pair[s]] == n + 1).astype(np.int64) for n in range(K)))
             rows.append({"kind": PARTIAL, "bucket": bucket, "peer": peer, "blob": pack(deltas(sums[0].astype(np.uint64)), *sums[1:3], *map(narrow, sums[3:]))})
+            if pending[s].any():
+                at = cuts[k] + np.flatnonzero(pending[s])
+                both, n = np.unique(np.stack([docs[k][at - cuts[k]].astype(np.int64), context[at].astype(np.int64)]), axis=1, return_counts=True)
+                rows.append({"kind": PENDING, "bucket": bucket, "peer": peer, "blob": pack(deltas(both[0].astype(np.uint64)), vocabulary[both[1]], narrow(n))})
 
-        del share, plain, known
+        del share, plain, known, pending
         missed = np.flatnonzero(~got)
         at_block = np.searchsorted(cuts, missed, side="right") - 1
         doc = np.concatenate(docs)[missed]
         order = np.argsort(word[missed], kind="stable")  # vocabulary is sorted by hash
+        order = order[~is_known[word[missed[order]]]]
         hashes, of_block, of_doc = vocabulary[word[missed[order]]], narrow(at_block[order]), narrow(doc[order])
         for part, s in _pieces(hashes, parts):
             blob = pack(deltas(hashes[s]), of_block[s], of_doc[s], np.array(peers, np.int64))
@@ -245,13 +285,14 @@ def _count_bigrams(parts: int, hot: dict[int, int]):
         n_hot = int(is_hot[mine].sum())
         number = np.zeros(len(vocabulary), np.int64)
         number[mine] = np.arange(len(mine))
-        state = [vocabulary[mine], over[mine], rest[mine], *(narrow(by_count[n][mine].astype(np.int64)) for n in range(K))]
+        mass = np.bincount(pair_context[seen], weights=p_word[pair_word[seen]], minlength=len(vocabulary))
+        state = [vocabulary[mine], total[mine], over[mine], rest[mine], mass[mine], *(narrow(by_count[n][mine].astype(np.int64)) for n in range(K))]
         rows.append({
             "kind": CONTEXTS, "bucket": bucket, "hot": vocabulary[mine[:n_hot]].view(np.int64).tolist(),
-            "hot_stats": np.concatenate([over[None, mine[:n_hot]], rest[None, mine[:n_hot]], by_count[:, mine[:n_hot]]]).T.ravel().tolist(),
+            "hot_stats": np.concatenate([total[None, mine[:n_hot]], mass[None, mine[:n_hot]], by_count[:, mine[:n_hot]]]).T.ravel().tolist(),
             "blob": pack(*state, np.array(peers, np.int64), narrow(at_block), narrow(doc), narrow(number[context[missed]])),
         })
-        chosen = np.flatnonzero(seen)
+        chosen = np.flatnonzero(seen & ~is_known[pair_word])
         order = chosen[np.argsort(pair_word[chosen], kind="stable")]
         hashes = vocabulary[pair_word[order]]
         for part, s in _pieces(hashes, parts):
@@ -309,23 +350,28 @@ def _word_side(p_known: np.ndarray, p_unknown: float, over: float):
     return look
 
 
-def _context_side(d: list[float], hot_alpha: dict[int, float]):
+def _alpha(d: list[float], by_count: list, spare, over, mass, p_unknown: float):
+    """A context's backoff weight: what the discounts leave of it (and the
+    part set aside, spare) over what unigrams give its unseen words, which is
+    never less than what they give the unknown one."""
+    left = sum(((1 - d[n]) * (n + 1) * by_count[n] for n in range(K)), spare)
+    return left / over / np.maximum(1 - mass, p_unknown)
+
+
+def _context_side(d: list[float], hot_alpha: dict[int, float], p_unknown: float):
     """One bucket of contexts: backoff weights, and their logarithms summed
     over each document's unseen tokens."""
 
     def weigh(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         for blob in left.column("blob").to_pylist():
-            hashes, over, rest, *x = unpack(blob)
-            by_count, (peers, at_block, doc, number) = x[:K], x[K:]
-            mass = np.zeros(len(hashes))
+            hashes, total, over, rest, mass, *x = unpack(blob)
+            by_count, (peers, at_block, doc, number) = [c.astype(np.float64) for c in x[:K]], x[K:]
             for said in right.column("blob").to_pylist():
                 gaps, part = unpack(said)
                 mass[undelta(gaps)] += part
-            seen = sum((d[n] * (n + 1) * by_count[n] for n in range(K)), rest.copy())
-            alpha = np.where(over > 0, (1 - seen / np.maximum(over, 1)) / np.maximum(1 - mass, 1e-300), 1.0)
-            fresh = (rest == 0) & (sum(c.astype(np.int64) for c in by_count) == 0)
-            alpha[fresh] = 1.0  # never a context in training
+            alpha = _alpha(d, by_count, (over - total).astype(np.float64), np.maximum(over, 1), mass, p_unknown)
+            alpha[(rest == 0) & (sum(by_count) == 0)] = 1.0  # never a context in training
             for k, h in enumerate(hashes.tolist()):
                 if h not in hot_alpha:
                     break  # those that are spread come first
@@ -372,8 +418,9 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
     seen = [F.coalesce(F.sum(F.col("seen")[n]), F.lit(0)) for n in range(K + 1)]
     total, vocabulary, *of_counts = unigrams.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), *seen).first()
     hot_least = max(BIG, total // (4 * parts))  # so there are 4 * parts at most
-    big = unigrams.select(F.explode(F.arrays_zip("big", "big_count")).alias("x")).where(F.col("x.big_count") > hot_least)
-    hot = {h & (1 << 64) - 1: n for h, n in big.select("x.big", "x.big_count").collect()}
+    often = unigrams.select("blob").mapInArrow(_often(min(hot_least, total // KNOWN)), "hash long, count long").collect()  # fewer than KNOWN, or 4 * parts
+    often = {h & (1 << 64) - 1: n for h, n in often}
+    hot = {h: n for h, n in often.items() if n > hot_least}
     end_count = rows.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]  # a training document has one end, and one start, which is no word
     if end_count > hot_least:
         hot[int(hash64(pa.array([_START], pa.large_binary()))[0])] = end_count
@@ -383,10 +430,11 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
     p_known = _factors(d1)
     held_back = sum((1 - d1[n]) * (n + 1) * of_counts[n] for n in range(K)) + (over - total)
     p_unknown = held_back / over
+    known = {h: float(p_known[min(n, K + 1)] * n / over) for h, n in often.items()}
 
     hot_hashes = np.array(sorted(hot), np.uint64)
     tokens = rows.mapInArrow(_token_parts(parts, hot_hashes), "kind int, bucket int, peer long, blob binary").select("bucket", "peer", "blob")
-    counted = staged(tokens.groupBy("bucket").applyInArrow(_count_bigrams(parts, hot), _MIXED), "katz-bigrams", partition_by=["kind"])
+    counted = staged(tokens.groupBy("bucket").applyInArrow(_count_bigrams(parts, hot, known), _MIXED), "katz-bigrams", partition_by=["kind"])
     of_counts2 = counted.where(F.col("kind") == COUNTS).agg(*seen).first()
     d2 = discounts(list(of_counts2))
 
@@ -396,16 +444,19 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
 
     width = K + 2
     stats = counted.where((F.col("kind") == CONTEXTS) & (F.size("hot") > 0)).select(F.explode(F.transform("hot", lambda h, i: F.struct(h.alias("h"), F.slice("hot_stats", i * width + 1, width).alias("s")))).alias("x"))
-    stats = stats.groupBy("x.h").agg(F.max(F.col("x.s")[0]).alias("over"), F.sum(F.col("x.s")[1]).alias("rest"), *[F.sum(F.col("x.s")[n + 2]).alias(f"n{n}") for n in range(K)])
+    stats = stats.groupBy("x.h").agg(F.max(F.col("x.s")[0]).alias("total"), F.sum(F.col("x.s")[1]).alias("known"), *[F.sum(F.col("x.s")[n + 2]).alias(f"n{n}") for n in range(K)])
     mass = words.where(F.col("kind") == MASS).select(F.explode(F.arrays_zip("hot", "hot_stats")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_stats").alias("mass"))
-    hot_alpha = {}
+    hot_alpha, lone = {}, {}
     for row in stats.join(mass, stats["h"] == mass["hot"], "left").collect():  # at most 4 * parts
-        share = row.rest + sum(d2[n] * (n + 1) * row[f"n{n}"] for n in range(K))
-        hot_alpha[row.h & (1 << 64) - 1] = (1 - share / row.over) / (1 - (row.mass or 0.0))
+        by_count = [row[f"n{n}"] for n in range(K)]
+        spare, name = float(not sum(by_count)), row.h & (1 << 64) - 1
+        hot_alpha[name] = float(_alpha(d2, by_count, spare, row.total + spare, row.known + (row.mass or 0.0), p_unknown))
+        if spare:
+            lone[name] = np.log10(row.total) - np.log10(row.total + 1)
 
     contexts = counted.where(F.col("kind") == CONTEXTS).select("bucket", "blob")
     masses = words.where(F.col("kind") == MASS).select("bucket", "blob")
-    weighed = contexts.groupBy("bucket").cogroup(masses.groupBy("bucket")).applyInArrow(_context_side(d2, hot_alpha), _MIXED)
+    weighed = contexts.groupBy("bucket").cogroup(masses.groupBy("bucket")).applyInArrow(_context_side(d2, hot_alpha, p_unknown), _MIXED)
     weighed = staged(weighed, "katz-weights", partition_by=["kind"])
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,10 +467,11 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
             yield from _table({"kind": pa.int32(), "peer": pa.int64(), "blob": pa.binary()}, [{"kind": 0, "peer": block.column("rid")[0].as_py(), "blob": blob}]).to_batches()
 
     logs = np.log10(np.array(d2))
+    lone_hash, lone_gap = np.array(sorted(lone), np.uint64), np.array([lone[h] for h in sorted(lone)])
     log_over = np.log10(total + 0.1 * (vocabulary + 1))
     parts_of = (
         staged(rows.mapInArrow(headers, "kind int, peer long, blob binary"), "katz-documents")
-        .unionByName(counted.where(F.col("kind") == PARTIAL).select("kind", "peer", "blob"))
+        .unionByName(counted.where(F.col("kind").isin(PARTIAL, PENDING)).select("kind", "peer", "blob"))
         .unionByName(words.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
         .unionByName(weighed.where(F.col("kind") == UNSEEN).select("kind", "peer", "blob"))
     )
@@ -433,6 +485,10 @@ def _scores(docs: DataFrame, id_col: str, text_col: str, held_col: str) -> DataF
                 continue
             gaps, *x = unpack(blob)
             doc = undelta(gaps)
+            if kind == PENDING:
+                here, at = _found(lone_hash, x[0])
+                np.add.at(score, doc[here], x[1][here] * lone_gap[at[here]])
+                continue
             score[doc] += x[0]
             if kind == PARTIAL:
                 base[doc] += x[1]
