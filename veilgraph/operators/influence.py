@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veilgraph.functions.noise import uniform
 from veilgraph.functions.scalars import activation
 from veilgraph.operators.graph import both_ways
-from veilgraph.plans.staging import staged
+from veilgraph.plans.staging import drop, staged
 
 
 def degree_discount(edges: DataFrame, k: int, p: float = 0.01) -> DataFrame:
@@ -18,23 +18,24 @@ def degree_discount(edges: DataFrame, k: int, p: float = 0.01) -> DataFrame:
     Each round takes the vertex with the largest discounted degree and
     discounts its neighbours that aren't seeds. Of equal ones that whose
     value changed longest ago comes first, then the smallest id. Only the
-    seeds come to the driver.
+    seeds come to the driver; the rest is a stored table of degrees and one of
+    the vertices touched so far, which alone is written anew each round.
     """
     paths = staged(both_ways(edges.select("src", "dst", "weight")), "discount-edges")
-    state = paths.groupBy(F.col("src").alias("vid")).agg(F.sum("weight").cast("double").alias("d"))
-    state = staged(state.select("vid", "d", F.lit(0.0).alias("t"), F.col("d").alias("score"), F.lit(0).alias("stamp")), "discount")
+    base = staged(paths.groupBy(F.col("src").alias("vid")).agg(F.sum("weight").cast("double").alias("d")), "discount-degrees")
+    touched = staged(base.where("false").select("vid", F.lit(0.0).alias("t"), F.lit(0).alias("stamp")), "discount")
     seeds: list[tuple[int, int, float]] = []
     for rank in range(1, k + 1):
-        best = state.orderBy(F.desc("score"), "stamp", "vid").first()
+        t, gone = F.coalesce("t", F.lit(0.0)), [v for _, v, _ in seeds]
+        rows = base.join(touched, "vid", "left").where(~F.col("vid").isin(gone)) if gone else base.join(touched, "vid", "left")
+        best = rows.select("vid", (F.col("d") - 2 * t - (F.col("d") - t) * t * p).alias("score"), F.coalesce("stamp", F.lit(0)).alias("stamp")).orderBy(F.desc("score"), "stamp", "vid").first()
         if best is None:
             break
         seeds.append((rank, best.vid, best.score))
-        hit = paths.where((F.col("src") == best.vid) & (F.col("dst") != best.vid)).select(F.col("dst").alias("n"), "weight")
-        joined = state.where(F.col("vid") != best.vid).join(hit, F.col("vid") == F.col("n"), "left")
-        t = F.col("t") + F.coalesce("weight", F.lit(0))
-        touched = F.col("n").isNotNull()
-        value = F.col("d") - 2 * t - (F.col("d") - t) * t * p
-        state = staged(joined.select("vid", "d", t.alias("t"), F.when(touched, value).otherwise(F.col("score")).alias("score"), F.when(touched, F.lit(rank)).otherwise(F.col("stamp")).alias("stamp")), "discount")
+        hit = paths.where((F.col("src") == best.vid) & (F.col("dst") != best.vid)).select(F.col("dst").alias("vid"), F.col("weight").cast("double").alias("t"), F.lit(rank).alias("stamp"))
+        after = staged(touched.unionByName(hit).groupBy("vid").agg(F.sum("t").alias("t"), F.max("stamp").alias("stamp")), "discount")
+        drop(touched)
+        touched = after
     return edges.sparkSession.createDataFrame(seeds, "rank int, vid long, score double")
 
 

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from veilgraph.functions.noise import gumbel, laplace, uniform
 from veilgraph.functions.scalars import clip_bound
 from veilgraph.operators.graph import Graph, both_ways, community_matrix, community_pairs, degrees, induced, intra_degrees, neighbour_weights
-from veilgraph.operators.louvain import louvain
-from veilgraph.operators.ranking import ranked
+from veilgraph.operators.louvain import louvain, louvain_rounds
+from veilgraph.operators.ranking import ranked, running_total
 from veilgraph.plans.staging import staged
 
 #: A shift is taken only if it brings the sum nearer than this (fixed value).
@@ -28,8 +28,11 @@ def norm_sub(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     less the first shift i in 0 .. -min-1 for which the sum of max(x - i, 0)
     is nearest the sum of all, floored at 0.
 
-    The sums for all shifts come from the group's distinct values, by running
-    totals from the largest down: rows are never paired with shifts.
+    The sum over what is kept falls with the shift, and between two values
+    in steps of the number of rows above; so it is nearest at the first shift
+    whose sum is no more than wanted or at the one before.  Values are counted
+    first: rows are never paired with shifts, and a group of any size is as
+    many rows as it has values.
     """
     x = F.col(value).cast("int").cast("long")
     rows = df.withColumn(out, x)
@@ -37,13 +40,25 @@ def norm_sub(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     names = keys or ["_all"]
     hist = rows.groupBy(*by, F.col(out).alias("at")).agg(F.count("*").alias("n"))
     span = hist.groupBy(*names).agg(F.min("at").alias("low"), F.sum(F.col("at") * F.col("n")).alias("total"))
-    shifts = span.where("low < 0").select(*names, F.explode(F.sequence(F.lit(0).cast("long"), -F.col("low") - 1)).alias("at"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("shift"))
-    line = hist.select(*names, "at", "n", F.lit(False).alias("shift")).unionByName(shifts)
-    above = Window.partitionBy(*names).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    line = line.withColumn("count", F.sum("n").over(above)).withColumn("mass", F.sum(F.col("n") * F.col("at")).over(above))
-    sums = line.where("shift").select(*names, "at", (F.col("mass") - F.col("at") * F.col("count")).alias("kept"))
-    gap = F.abs(F.col("kept") - F.col("total"))
-    best = sums.join(span, names).groupBy(*names).agg(F.min(F.struct(gap.alias("gap"), F.col("at").alias("shift"))).alias("b"))
+    # what lies above each value: totals of runs of values from the largest down
+    line = hist.join(span.where("low < 0"), names).where("at >= 0").withColumn("down", -F.col("at"))
+    line = running_total(line, names, "down", F.col("n"), "count")
+    line = running_total(line, names, "down", F.col("n") * F.col("at"), "mass")
+    after = Window.partitionBy(*names, "_run").orderBy(F.desc("at"))
+    line = line.withColumn("_run", F.shiftright("down", 16))
+    edge = line.groupBy(*names, "_run").agg(F.max("at").alias("_first"))
+    below = edge.withColumn("_next", F.lead("_first").over(Window.partitionBy(*names).orderBy("_run"))).drop("_first")
+    line = line.join(below, [*names, "_run"]).withColumn("to", F.coalesce(F.lead("at").over(after), "_next", F.lit(0)))
+    # shifts from the value below up to this one keep mass - shift * count
+    cross = F.floor((F.col("mass") - F.col("total")) / F.col("count"))
+    shift = lambda c: F.least(F.greatest(c, F.col("to")), F.col("at"))
+    tried = F.array(F.col("to"), F.col("at"), shift(cross), shift(cross + 1), shift(-F.col("low") - 1))
+    sums = line.select(*names, "low", "total", "count", "mass", F.explode(tried).alias("i"))
+    top = hist.groupBy(*names).agg(F.max("at").alias("most"))  # from the largest value on nothing is kept
+    ends = span.where("low < 0").join(top, names).select(*names, "low", "total", F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("mass"), F.greatest("most", F.lit(0).cast("long")).alias("i"))
+    sums = sums.select(*names, "low", "total", "count", "mass", F.col("i").cast("long").alias("i")).unionByName(ends).where("i < -low")
+    gap = F.abs(F.col("mass") - F.col("i") * F.col("count") - F.col("total"))
+    best = sums.groupBy(*names).agg(F.min(F.struct(gap.alias("gap"), F.col("i").alias("shift"))).alias("b"))
     best = best.select(*names, F.col("b.shift").alias("_shift"), (F.col("b.gap") >= FARTHEST).alias("_none"))
     rows = rows if keys else rows.withColumn("_all", F.lit(0))
     joined = rows.join(best, names, "left")
@@ -108,18 +123,19 @@ def noisy_super_graph(edges: DataFrame, groups: DataFrame, epsilon: float, seed:
     return norm_sub(noisy, "noisy", ["inner"], "fit").select("ci", "cj", F.col("fit").alias("w"))
 
 
-def group_communities(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int, resolution: float = 1.0) -> DataFrame:
+def group_communities(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int, resolution: float = 1.0, exact: bool = False) -> DataFrame:
     """(vid, com): Louvain over the noisy super-graph, groups expanded to
-    their vertices.  The weight of a group's loop is its diagonal cell."""
+    their vertices.  The weight of a group's loop is its diagonal cell.  In
+    rounds; with exact, vertex after vertex in one task."""
     cells = staged(noisy_super_graph(edges, groups, epsilon, seed), "super-graph")
     nodes = groups.select(F.col("com").alias("vid")).distinct()
     links = cells.where("w > 0").select(F.col("ci").alias("src"), F.col("cj").alias("dst"), F.col("w").alias("weight"))
-    found = louvain(nodes, links, resolution, seed).select(F.col("vid").alias("g"), F.col("com").alias("c"))
+    found = (louvain if exact else louvain_rounds)(nodes, links, resolution, seed).select(F.col("vid").alias("g"), F.col("com").alias("c"))
     return groups.join(found, F.col("com") == F.col("g")).select("vid", F.col("c").alias("com"))
 
 
-def init_random(graph: Graph, epsilon: float, size: int, seed: int, resolution: float = 1.0) -> DataFrame:
-    return group_communities(graph.edges, staged(random_groups(graph.vertices, size, seed), "groups"), epsilon, seed, resolution)
+def init_random(graph: Graph, epsilon: float, size: int, seed: int, resolution: float = 1.0, exact: bool = False) -> DataFrame:
+    return group_communities(graph.edges, staged(random_groups(graph.vertices, size, seed), "groups"), epsilon, seed, resolution, exact)
 
 
 def degree_scores(graph: Graph, epsilon: float, seed: int, alpha: float = 0.3) -> DataFrame:

@@ -21,7 +21,11 @@ from veilgraph.functions.noise import key_bits, uniform
 from veilgraph.operators.graph import both_ways, canonical, edge_communities
 from veilgraph.operators.louvain import draw
 from veilgraph.operators.ranking import running_total
-from veilgraph.plans.staging import staged
+from veilgraph.plans.staging import drop, staged
+
+
+#: How degrees are repaired: 'rounds', 'sequential' or None.
+Repair = str | None
 
 
 @dataclass
@@ -32,10 +36,11 @@ class Release:
     edge_counts: DataFrame  # ci, cj, ev
 
 
-def chung_lu(degrees: DataFrame, seed: int, weight: str = "target") -> DataFrame:
+def chung_lu_pairs(degrees: DataFrame, seed: int, weight: str = "target") -> DataFrame:
     """Each pair u < v of a community becomes an edge with probability
-    min(1, d(u) d(v) / sum of d). One keyed draw a pair: quadratic in a
-    community, as is the number of candidates; chung_lu_sparse skips."""
+    min(1, d(u) d(v) / sum of d), by one keyed draw a pair: quadratic in a
+    community. chung_lu makes the same distribution in proportion to the
+    edges."""
     rows = degrees.where(F.col(weight) > 0).select("com", "vid", F.col(weight).alias("d"))
     total = rows.groupBy("com").agg(F.sum("d").alias("s"))
     u = rows.join(total, "com").select("com", F.col("vid").alias("src"), F.col("d").alias("du"), "s")
@@ -44,47 +49,53 @@ def chung_lu(degrees: DataFrame, seed: int, weight: str = "target") -> DataFrame
     return pairs.where(uniform(seed, "chung-lu", F.col("src"), F.col("dst")) * F.col("s") < F.col("du") * F.col("dv")).select("src", "dst")
 
 
-def chung_lu_sparse(degrees: DataFrame, seed: int, weight: str = "target") -> DataFrame:
-    """The same distribution in time proportional to the edges made: vertices
-    of one community and degree form a block; in each pair of blocks all
-    candidates have the same probability, so geometric steps jump from one
-    edge to the next. Pairs of blocks are independent tasks."""
+#: Edges that a run of candidates is expected to hold, at most.
+RUN_EDGES = 1 << 16
+
+
+def chung_lu(degrees: DataFrame, seed: int, weight: str = "target") -> DataFrame:
+    """Each pair u < v of a community becomes an edge with probability
+    min(1, d(u) d(v) / sum of d), in time in proportion to the edges.
+
+    Vertices of one community and degree are a block. In each pair of blocks
+    all candidates have the same probability, so they are numbered and keyed
+    geometric steps jump from one edge to the next. As the steps have no
+    memory, the numbers are cut into runs of a bounded number of edges, which
+    are independent groups. A run takes eight standard deviations and twelve
+    steps more than it is expected to need.
+    """
     rows = degrees.where(F.col(weight) > 0).select("com", "vid", F.col(weight).cast("long").alias("d"))
-    place = F.row_number().over(Window.partitionBy("com", "d").orderBy("vid")) - 1
-    placed = staged(rows.withColumn("place", place.cast("long")), "blocks")
+    placed = running_total(rows, ["com", "d"], "vid", F.lit(1).cast("long"), "place")
+    placed = staged(placed.withColumn("place", F.col("place") - 1), "blocks")
     blocks = placed.groupBy("com", "d").agg(F.count("*").alias("n"))
     total = rows.groupBy("com").agg(F.sum("d").alias("s"))
     a = blocks.join(total, "com").select("com", F.col("d").alias("da"), F.col("n").alias("na"), "s")
     b = blocks.select(F.col("com").alias("c"), F.col("d").alias("db"), F.col("n").alias("nb"))
+    same = F.col("da") == F.col("db")
     pairs = a.join(b, (F.col("com") == F.col("c")) & (F.col("da") <= F.col("db"))).drop("c")
-
-    def skip(batches):
-        for pdf in batches:
-            out = []
-            for com, da, na, s, db, nb in pdf[["com", "da", "na", "s", "db", "nb"]].itertuples(index=False):
-                p = min(1.0, da * db / s)
-                many = na * (na - 1) // 2 if da == db else na * nb
-                rng = np.random.default_rng([seed & 0xFFFFFFFF, com & 0xFFFFFFFF, da, db])
-                at = -1
-                while at < many:
-                    step = rng.geometric(p, size=max(16, int((many - at) * p * 1.1) + 1))
-                    hits = at + np.cumsum(step)
-                    at = int(hits[-1])
-                    hits = hits[hits < many]
-                    if da == db:  # position in the strict lower triangle
-                        i = ((1 + np.sqrt(1 + 8 * hits.astype(np.float64))) // 2).astype(np.int64)
-                        i -= i * (i - 1) // 2 > hits
-                        i += (i + 1) * i // 2 <= hits
-                        j = hits - i * (i - 1) // 2
-                    else:
-                        i, j = hits // nb, hits % nb
-                    out.append(pd.DataFrame({"com": com, "da": da, "i": i, "db": db, "j": j}))
-            yield pd.concat(out) if out else pd.DataFrame({"com": [], "da": [], "i": [], "db": [], "j": []}, dtype="int64")
-
-    drawn = pairs.mapInPandas(skip, "com long, da long, i long, db long, j long")
+    pairs = pairs.withColumn("many", F.when(same, (F.col("na") * (F.col("na") - 1) / 2).cast("long")).otherwise(F.col("na") * F.col("nb"))).where("many > 0")
+    pairs = pairs.withColumn("p", F.least(F.lit(1.0), F.col("da") * F.col("db") / F.col("s")))
+    pairs = pairs.withColumn("size", F.ceil(F.lit(float(RUN_EDGES)) / F.col("p")).cast("long"))
+    runs = pairs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / F.col("size")).cast("long"))))
+    runs = runs.withColumn("here", F.least("size", F.col("many") - F.col("run") * F.col("size")))
+    expected = F.col("here") * F.col("p")
+    runs = runs.withColumn("steps", F.least(F.col("here"), F.ceil(expected + 8 * F.sqrt(expected)) + 12).cast("long"))
+    drawn = runs.select("com", "da", "db", "nb", "p", "size", "run", "here", F.explode(F.sequence(F.lit(1).cast("long"), "steps")).alias("k"))
+    p = F.col("p")
+    scale = F.when(p < 1e-4, -(p + p * p / 2 + p * p * p / 3)).otherwise(F.log(1 - p))  # log(1 - p), also for a small p
+    u = uniform(seed, "chung-lu", *[F.col(c) for c in ("com", "da", "db", "run", "k")])
+    step = F.when(p >= 1, F.lit(1)).otherwise(F.floor(F.log(u) / scale) + 1).cast("long")
+    order = Window.partitionBy("com", "da", "db", "run").orderBy("k")
+    hits = drawn.withColumn("at", F.sum(step).over(order) - 1).where("at < here").withColumn("at", F.col("at") + F.col("run") * F.col("size"))
+    # within a block a number is a place in the strict lower triangle
+    near = F.floor((1 + F.sqrt(1 + 8 * F.col("at").cast("double"))) / 2).cast("long")
+    low = F.when(near * (near - 1) / 2 > F.col("at"), near - 1).when((near + 1) * near / 2 <= F.col("at"), near + 1).otherwise(near)
+    hits = hits.withColumn("row", low).withColumn("i", F.when(same, F.col("row")).otherwise(F.floor(F.col("at") / F.col("nb")).cast("long")))
+    hits = hits.withColumn("j", F.when(same, F.col("at") - (F.col("row") * (F.col("row") - 1) / 2).cast("long")).otherwise(F.col("at") % F.col("nb")))
     left = placed.select("com", F.col("d").alias("da"), F.col("place").alias("i"), F.col("vid").alias("u"))
     right = placed.select("com", F.col("d").alias("db"), F.col("place").alias("j"), F.col("vid").alias("v"))
-    return canonical(drawn.join(left, ["com", "da", "i"]).join(right, ["com", "db", "j"]))
+    ends = hits.select("com", "da", "db", "i", "j").join(left, ["com", "da", "i"]).join(right, ["com", "db", "j"])
+    return ends.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst"))
 
 
 def slots(degrees: DataFrame, weight: Column) -> DataFrame:
@@ -154,19 +165,39 @@ def _samples(targets: DataFrame, degrees: DataFrame, table: DataFrame, draws: Co
 
 
 def accept_new(samples: DataFrame, existing: DataFrame) -> DataFrame:
-    """Of the samples those that make new edges: not in existing, the first
-    of equal ones (by pair, part, number), the first want of each target. A
-    sample that loses to an earlier equal one isn't drawn again."""
-    fresh = samples.join(existing, ["src", "dst"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy("ci", "cj", "part", "k"))
-    fresh = fresh.withColumn("turn", first).where("turn = 1")
-    within = F.row_number().over(Window.partitionBy("ci", "cj", "part").orderBy("k"))
-    return fresh.withColumn("turn", within).where(F.col("turn") <= F.col("want")).select("src", "dst")
+    """Of the samples those that one after the other would make new edges:
+    targets in order of pair and part, samples in order of their number, each
+    target until it has the number it wants; an edge that is in existing, or
+    that was accepted before, is passed over.
+
+    In rounds: every target holds its first samples, as many as it wants; a
+    sample whose edge an earlier target holds is lost for good, as that target
+    or one before it keeps the edge; then the next ones move up. Samples that
+    a target doesn't come to bar nothing.
+    """
+    target = ["ci", "cj", "part"]
+    first = F.row_number().over(Window.partitionBy("src", "dst", *target).orderBy("k"))
+    fresh = samples.join(existing, ["src", "dst"], "left_anti").withColumn("turn", first).where("turn = 1")
+    fresh = staged(fresh.select("src", "dst", *target, "want", "k", F.struct(*target).alias("order")), "samples")
+    within = F.row_number().over(Window.partitionBy(*target).orderBy("k")) <= F.col("want")
+    holder = F.min(F.when(F.col("held"), F.col("order"))).over(Window.partitionBy("src", "dst"))
+    n = fresh.count()
+    while True:
+        held = fresh.withColumn("held", within).withColumn("holder", holder)
+        rest = staged(held.where(F.col("holder").isNull() | (F.col("order") <= F.col("holder"))).drop("holder"), "samples")
+        left = rest.count()
+        drop(fresh)
+        if left == n:
+            return rest.where("held").select("src", "dst")
+        fresh, n = rest.drop("held"), left
+        fresh._staged_at = rest._staged_at
 
 
 def _intra_draws() -> Column:
-    """Draws for a target within a community (fixed values)."""
-    return F.least(F.floor(1.5 * F.col("want")) + 10, F.col("na") * (F.col("na") - 1))
+    """Draws for a target within a community of na, which has na (na - 1) / 2
+    pairs (fixed values)."""
+    pairs = F.col("na") * (F.col("na") - 1) / 2
+    return F.least(F.floor(1.5 * F.least(F.col("want"), pairs)) + 10, 2 * pairs)
 
 
 def _inter_draws() -> Column:
@@ -189,22 +220,22 @@ def convert_oversample(release: Release, seed: int, convert_ratio: float = 0.9,
     return chung_lu(d, seed).unionByName(found.select("src", "dst")).distinct()
 
 
-def _collision_free(release: Release, seed: int, n_intra: Column, n_inter: Column, repair: bool) -> DataFrame:
+def _collision_free(release: Release, seed: int, n_intra: Column, n_inter: Column, repair: Repair) -> DataFrame:
     d = release.degrees
     base = staged(chung_lu(d, seed), "chung-lu")
     draws = F.when(F.col("part") < 2, _intra_draws()).otherwise(_inter_draws())
     samples = _samples(_targets(release.edge_counts, n_intra, n_inter), d, staged(slots(d, _safe_weight()), "slots"), draws, seed, "free")
     edges = base.unionByName(accept_new(samples, base))
-    return repair_degrees(edges, d, seed, 0.3) if repair else edges
+    return repaired(edges, d, seed, 0.3, repair)
 
 
-def v3(release: Release, seed: int, intra_ratio: float = 0.4, inter_ratio: float = 0.2, repair: bool = True) -> DataFrame:
+def v3(release: Release, seed: int, intra_ratio: float = 0.4, inter_ratio: float = 0.2, repair: Repair = "rounds") -> DataFrame:
     """Chung-Lu, then collision-free weighted edges: intra_ratio of each
     pair's count within the two, inter_ratio between; then degree repair."""
     return _collision_free(release, seed, F.floor(F.col("ev") * intra_ratio), F.floor(F.col("ev") * inter_ratio), repair)
 
 
-def v3_convert(release: Release, seed: int, convert_ratio: float = 0.4, repair: bool = True) -> DataFrame:
+def v3_convert(release: Release, seed: int, convert_ratio: float = 0.4, repair: Repair = "rounds") -> DataFrame:
     """As v3, with all of the count that isn't converted drawn between."""
     n = F.floor(F.col("ev") * convert_ratio)
     return _collision_free(release, seed, n, F.col("ev") - n, repair)
@@ -215,7 +246,7 @@ def _row_sums(edge_counts: DataFrame) -> DataFrame:
     return both.groupBy("com").agg(F.sum("ev").alias("out"))
 
 
-def v2(release: Release, seed: int, convert_ratio: float = 0.85, repair: bool = True) -> DataFrame:
+def v2(release: Release, seed: int, convert_ratio: float = 0.85, repair: Repair = "rounds") -> DataFrame:
     """Budgets for converted and inter edges are dealt to vertices first, in
     proportion to max(d, 1), rounded half to even, what rounding leaves going
     one by one to the largest degrees. Row sums are those of the symmetric
@@ -240,12 +271,13 @@ def v2(release: Release, seed: int, convert_ratio: float = 0.85, repair: bool =
     targets = _targets(release.edge_counts, F.lit(0), F.floor(F.col("ev") * (1 - convert_ratio) + 1e-9))
     edges = base.unionByName(accept_new(_samples(targets, d, table, _inter_draws(), seed, "v2"), base))
     wanted = rows.select("com", "vid", (F.col("target") + F.col("convert") + F.col("inter")).alias("target"))
-    return repair_degrees(edges, wanted, seed, 0.2) if repair else edges
+    return repaired(edges, staged(wanted, "wanted"), seed, 0.2, repair)
 
 
-def v4(release: Release, seed: int, convert_ratio: float = 0.9) -> DataFrame:
+def v4(release: Release, seed: int, convert_ratio: float = 0.9, repair: Repair = "rounds") -> DataFrame:
     """As convert_oversample without oversampling, with vertices weighed by
-    what Chung-Lu left of their target, a tenth at least; collision-free."""
+    what Chung-Lu left of their target, a tenth at least; collision-free; then
+    degree repair."""
     d = release.degrees
     base = staged(chung_lu(d, seed), "chung-lu")
     have = both_ways(base).groupBy("src").agg(F.count("*").alias("have"))
@@ -254,19 +286,21 @@ def v4(release: Release, seed: int, convert_ratio: float = 0.9) -> DataFrame:
     n = F.floor(F.col("ev") * convert_ratio)
     draws = F.when(F.col("part") < 2, _intra_draws()).otherwise(_inter_draws())
     samples = _samples(_targets(release.edge_counts, n, F.col("ev") - n), d, table, draws, seed, "v4")
-    return base.unionByName(accept_new(samples, base))
+    return repaired(base.unionByName(accept_new(samples, base)), d, seed, 0.3, repair)
 
 
 #: Synthesis methods by name.
-METHODS: dict[str, Callable[[Release, int], DataFrame]] = {
+METHODS: dict[str, Callable[..., DataFrame]] = {
     "original": original, "convert_oversample": convert_oversample, "v2": v2, "v3": v3, "v3_convert": v3_convert, "v4": v4,
 }
 
 
-def synthesize(release: Release, seed: int, method: str = "v3") -> DataFrame:
+def synthesize(release: Release, seed: int, method: str = "v3", **options) -> DataFrame:
+    """options: the method's own, such as convert_ratio, oversample or
+    repair."""
     if method not in METHODS:
         raise ValueError(f"no method {method!r}; there is {', '.join(METHODS)}")
-    return METHODS[method](release, seed)
+    return METHODS[method](release, seed, **options)
 
 
 def excess_inter(edges: DataFrame, partition: DataFrame, edge_counts: DataFrame, seed: int) -> DataFrame:
@@ -296,8 +330,37 @@ def cross_cleanup(edges: DataFrame, partition: DataFrame, seed: int) -> DataFram
     return rows.where(~gone).select("src", "dst")
 
 
-def _in_one_task(edges: DataFrame, degrees: DataFrame, work: Callable[[dict, list], dict]) -> DataFrame:
-    """Applies work(neighbours, [(vid, com, target)]) -> neighbours."""
+def _repair_kernel(near: dict, nodes: list, seed: int, tolerance: float) -> dict:
+    com, want = {v: c for v, c, _ in nodes}, {v: max(t, 1) for v, _, t in nodes}
+    slack = {v: max(int(tolerance * t), 1) for v, t in want.items()}
+    group = defaultdict(list)
+    for v, c, _ in nodes:
+        group[c].append(v)
+    for v, c, _ in nodes:
+        surplus = len(near[v]) - want[v] - slack[v]
+        if surplus > 0:
+            order = sorted(near[v], key=lambda u: (com.get(u) == c, draw(seed, "trim", v, u)))  # noqa: B023
+            for u in order[:surplus]:
+                near[v].discard(u)
+                near[u].discard(v)
+    for v, c, _ in nodes:
+        lack = want[v] - slack[v] - len(near[v])
+        if lack > 0:
+            free = [u for u in group[c] if u != v and u not in near[v]]
+            key = {u: -np.log(draw(seed, "add", v, u)) / max(0.1, want[u] - len(near[u])) for u in free}
+            for u in sorted(free, key=key.get)[:lack]:
+                near[v].add(u)
+                near[u].add(v)
+    return near
+
+
+def repair_degrees(edges: DataFrame, degrees: DataFrame, seed: int, tolerance: float = 0.3) -> DataFrame:
+    """Soft repair, vertices in order, degrees changing as it goes. First
+    every vertex above its target by more than the tolerance loses the surplus
+    over it, edges to other communities first; then every vertex as far below
+    gets vertices of its own community, with chances in proportion to what
+    they lack. Sequential: one task; repair_rounds is the form for large
+    graphs."""
     rows = degrees.select(F.col("vid").alias("u"), F.col("com").alias("v"), F.col("target").cast("long").alias("t")).unionByName(
         edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(None).cast("long").alias("t"))
     )
@@ -308,76 +371,114 @@ def _in_one_task(edges: DataFrame, degrees: DataFrame, work: Callable[[dict, lis
         for u, v in zip(pdf.u[~own], pdf.v[~own], strict=True):
             near[u].add(v)
             near[v].add(u)
-        nodes = sorted(zip(pdf.u[own], pdf.v[own], pdf.t[own].astype("int64"), strict=True))
-        near = work(near, nodes)
-        pairs = sorted((u, v) for u, there in near.items() for v in there if u < v)
-        return pd.DataFrame(pairs, columns=["src", "dst"])
+        near = _repair_kernel(near, sorted(zip(pdf.u[own], pdf.v[own], pdf.t[own].astype("int64"), strict=True)), seed, tolerance)
+        return pd.DataFrame(sorted((u, v) for u, there in near.items() for v in there if u < v), columns=["src", "dst"])
 
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "src long, dst long")
 
 
-def repair_degrees(edges: DataFrame, degrees: DataFrame, seed: int, tolerance: float = 0.3) -> DataFrame:
-    """Soft repair, vertices in order, degrees changing as it goes: a vertex
-    above its target by more than the tolerance loses the surplus over it,
-    edges to other communities first; one below gets vertices of its own
-    community, with chances in proportion to what they lack. Sequential: one
-    task; repair_rounds is the form for large graphs."""
-
-    def work(near: dict, nodes: list) -> dict:
-        com = {v: c for v, c, _ in nodes}
-        want = {v: max(t, 1) for v, _, t in nodes}
-        group = defaultdict(list)
-        for v, c, _ in nodes:
-            group[c].append(v)
-        for v, c, _ in nodes:
-            slack = max(int(tolerance * want[v]), 1)
-            surplus = len(near[v]) - want[v]
-            if surplus > slack:
-                order = sorted(near[v], key=lambda u: (com.get(u) == c, draw(seed, "trim", v, u)))  # noqa: B023
-                for u in order[: surplus - slack]:
-                    near[v].discard(u)
-                    near[u].discard(v)
-            elif -surplus > slack:
-                free = [u for u in group[c] if u != v and u not in near[v]]
-                key = {u: -np.log(draw(seed, "add", v, u)) / max(0.1, want[u] - len(near[u])) for u in free}
-                for u in sorted(free, key=key.get)[: -surplus - slack]:
-                    near[v].add(u)
-                    near[u].add(v)
-        return near
-
-    return _in_one_task(edges, degrees, work)
-
-
-def repair_rounds(edges: DataFrame, degrees: DataFrame, seed: int, tolerance: float = 0.3, rounds: int = 3) -> DataFrame:
-    """The trimming half of the repair in set-based rounds: in each, every
-    vertex above its target nominates its surplus, other communities first,
-    and nominated edges go."""
-    wanted = degrees.select(F.col("vid").alias("v"), F.col("com").alias("c"), F.greatest("target", F.lit(1)).alias("want"))
+def _trimmed(edges: DataFrame, wanted: DataFrame, seed: int, turn: int, last: bool) -> DataFrame:
+    """One round: every vertex with a surplus names as many edges, those to
+    other communities first, both ends by the same keys; an edge goes if each
+    of its ends with a surplus names it, so that none of these loses more than
+    that. In the last round one of them is enough, so that no surplus stays."""
+    arcs = both_ways(edges).join(wanted.select(F.col("vid").alias("src"), F.col("com").alias("cu"), "most"), "src")
+    arcs = arcs.join(wanted.select(F.col("vid").alias("dst"), F.col("com").alias("cv")), "dst")
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    by = Window.partitionBy("src")
+    order = by.orderBy(F.col("cu") == F.col("cv"), key_bits(seed, f"trim-{turn}", a, b), a, b)
+    surplus = F.greatest(F.count("*").over(by) - F.col("most"), F.lit(0))
+    named = arcs.withColumn("surplus", surplus).withColumn("named", F.row_number().over(order) <= F.col("surplus"))
+    ends = named.where("surplus > 0").groupBy(a.alias("src"), b.alias("dst")).agg((F.max if last else F.min)("named").alias("all"))
+    return edges.join(ends.where("all").select("src", "dst"), ["src", "dst"], "left_anti")
+
+
+def _lacking(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(com, vid, want, least, deg, lack) of every vertex."""
+    deg = both_ways(edges).groupBy("src").agg(F.count("*").alias("deg"))
+    rows = wanted.join(deg, F.col("vid") == F.col("src"), "left").select("com", "vid", "want", "least", F.coalesce("deg", F.lit(0)).alias("deg"))
+    return staged(rows.withColumn("lack", F.greatest(F.col("least") - F.col("deg"), F.lit(0))), "lacking")
+
+
+def _filled(edges: DataFrame, rows: DataFrame, seed: int, turn: int) -> DataFrame:
+    """One round's new edges: every vertex that lacks some draws vertices of
+    its community, in proportion to what these lack of their target; of the
+    draws that make new edges those come to be that are within what each of
+    their ends lacks, by the same keys at both ends. So no vertex that lacks
+    edges gets more than it lacks."""
+    table = slots(rows, F.greatest(10 * (F.col("want") - F.col("deg")), F.lit(1)))  # in tenths
+    draws = rows.where("lack > 0").select("com", "vid", "lack", F.explode(F.sequence(F.lit(1).cast("long"), F.floor(1.5 * F.col("lack")) + 10)).alias("k"))
+    found = pick(draws, table, "com", uniform(seed, f"add-{turn}", F.col("vid"), F.col("k")), "other").where("vid <> other")
+    first = F.row_number().over(Window.partitionBy("vid", "other").orderBy("k"))
+    found = found.withColumn("turn", first).where("turn = 1").withColumn("src", F.least("vid", "other")).withColumn("dst", F.greatest("vid", "other"))
+    found = found.join(edges, ["src", "dst"], "left_anti")
+    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("vid").orderBy("k"))).where(F.col("turn") <= F.col("lack"))
+    new = both_ways(found.select("src", "dst").distinct()).join(rows.select(F.col("vid").alias("src"), "lack"), "src")
+    a, b = F.least("src", "dst"), F.greatest("src", "dst")
+    place = F.row_number().over(Window.partitionBy("src").orderBy(key_bits(seed, f"new-{turn}", a, b), a, b))
+    within = (F.col("lack") == 0) | (place <= F.col("lack"))
+    return new.withColumn("within", within).groupBy(a.alias("src"), b.alias("dst")).agg(F.min("within").alias("all")).where("all").select("src", "dst")
+
+
+def repair_rounds(edges: DataFrame, degrees: DataFrame, seed: int, tolerance: float = 0.3, rounds: int = 4) -> DataFrame:
+    """The soft repair in set-based rounds: first all trimming, then all
+    adding. No vertex ends the trimming further above its target than the
+    tolerance; those below gain what the draws of the rounds find. Communities
+    of any size: vertices are picked by slots, never paired with their
+    community."""
+    slack = F.greatest(F.floor(F.col("want") * tolerance), F.lit(1))
+    wanted = degrees.select("com", "vid", F.greatest("target", F.lit(1)).cast("long").alias("want"))
+    wanted = staged(wanted.withColumn("most", (F.col("want") + slack).cast("long")).withColumn("least", (F.col("want") - slack).cast("long")), "repair-targets")
+    now = staged(edges.select("src", "dst"), "repair")
+    n = now.count()
     for turn in range(rounds):
-        arcs = both_ways(edges).join(wanted, F.col("src") == F.col("v")).drop("v")
-        other = degrees.select(F.col("vid").alias("dst"), F.col("com").alias("c2"))
-        arcs = arcs.join(other, "dst").withColumn("deg", F.count("*").over(Window.partitionBy("src")))
-        order = Window.partitionBy("src").orderBy(F.col("c") == F.col("c2"), key_bits(seed, f"trim-{turn}", F.col("src"), F.col("dst")), "dst")
-        over = F.col("deg") - F.col("want") - F.greatest(F.floor(F.col("want") * tolerance), F.lit(1))
-        gone = arcs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= over).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-        edges = staged(edges.join(gone, ["src", "dst"], "left_anti"), "repair")
-    return edges
+        after = staged(_trimmed(now, wanted, seed, turn, turn == rounds - 1), "repair")
+        drop(now)
+        now, left = after, after.count()
+        if left == n:  # the first edge that any vertex with a surplus would name always goes
+            break
+        n = left
+    for turn in range(rounds):
+        rows = _lacking(now, wanted)
+        if rows.where("lack > 0").isEmpty():
+            break
+        now = now.unionByName(staged(_filled(now, rows, seed, turn), "repair-new"))
+        drop(rows)
+    return now
+
+
+def repaired(edges: DataFrame, degrees: DataFrame, seed: int, tolerance: float, repair: Repair) -> DataFrame:
+    """repair: 'rounds', 'sequential' (one task) or None."""
+    if repair is None:
+        return edges
+    if repair not in ("rounds", "sequential"):
+        raise ValueError("repair is 'rounds', 'sequential' or None")
+    return (repair_rounds if repair == "rounds" else repair_degrees)(edges, degrees, seed, tolerance)
 
 
 def prune_intra(edges: DataFrame, degrees: DataFrame, seed: int) -> DataFrame:
     """Vertices in order lose random edges of their own community beyond
-    their target. One task."""
+    their target. As only inner edges matter, the communities are independent
+    tasks; edges between them stay."""
+    placed = staged(edge_communities(edges, degrees.select("vid", "com")), "prune-edges")
+    inner = placed.where("cu = cv").select(F.col("cu").alias("com"), F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(None).cast("long").alias("t"))
+    rows = degrees.select("com", F.col("vid").alias("u"), F.lit(None).cast("long").alias("v"), F.col("target").cast("long").alias("t")).unionByName(inner)
 
-    def work(near: dict, nodes: list) -> dict:
-        com = {v: c for v, c, _ in nodes}
-        for v, c, t in nodes:
-            inner = sorted((u for u in near[v] if com.get(u) == c), key=lambda u: draw(seed, "prune-intra", v, u))  # noqa: B023
-            for u in inner[: max(0, len(inner) - t)]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.t.notna()
+        near: dict[int, set] = defaultdict(set)
+        for u, v in zip(pdf.u[~own], pdf.v[~own].astype("int64"), strict=True):
+            near[u].add(v)
+            near[v].add(u)
+        for v, t in sorted(zip(pdf.u[own], pdf.t[own].astype("int64"), strict=True)):
+            order = sorted(near[v], key=lambda u: draw(seed, "prune-intra", v, u))  # noqa: B023
+            for u in order[: max(0, len(order) - t)]:
                 near[v].discard(u)
                 near[u].discard(v)
-        return near
+        return pd.DataFrame(sorted((u, v) for u, there in near.items() for v in there if u < v), columns=["src", "dst"], dtype="int64")
 
-    return _in_one_task(edges, degrees, work)
+    kept = rows.groupBy("com").applyInPandas(run, "src long, dst long")
+    return kept.unionByName(placed.where("cu <> cv").select("src", "dst"))
 
 
 def prune(edges: DataFrame, release: Release, seed: int) -> DataFrame:

@@ -1,11 +1,8 @@
 """The registered queries of the graph engine.
 
 The star-schema tables hold no graph; the queries derive one: parts that
-share an order are joined (G_part), its part with both ids up to 300 is
-G_small, and the parts' brand, type and size are public partitions.
-
-Queries work on G_part.  Where the SQL is too slow for that, q_x is the one
-over G_small, which has the SQL, and q_x_whole is the same over G_part.
+share an order are joined (G_part), and the parts' brand, type and size are
+public partitions.  Every query works on all of it.
 """
 
 from __future__ import annotations
@@ -27,7 +24,6 @@ from veilgraph.sources import results
 
 SEED = 7
 EPSILON = 1.0
-SMALL = 300
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,26 +43,23 @@ def part_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
     return G.Graph(vertices, G.canonical(listed_pairs(spark, sf_dir)))
 
 
-def stored_graph(spark: SparkSession, sf_dir: str, bound: int | None = None) -> G.Graph:
-    """G_part with its edges staged, or its part with ids up to bound."""
+def stored_graph(spark: SparkSession, sf_dir: str) -> G.Graph:
+    """G_part with its edges staged."""
     g = part_graph(spark, sf_dir)
-    if bound is not None:
-        g = G.Graph(g.vertices.where(F.col("vid") <= bound), g.edges.where((F.col("src") <= bound) & (F.col("dst") <= bound)))
     return G.Graph(g.vertices, staged(g.edges, "graph"))
 
 
-def brands(spark: SparkSession, sf_dir: str, bound: int | None = None) -> DataFrame:
+def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
-    rows = parts.select(F.col("p_partkey").alias("vid"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("com"))
-    return rows if bound is None else rows.where(F.col("vid") <= bound)
+    return parts.select(F.col("p_partkey").alias("vid"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("com"))
 
 
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def brand_release(spark: SparkSession, sf_dir: str, bound: int | None = None) -> synthesis.Release:
-    return experiment.release(stored_graph(spark, sf_dir, bound), brands(spark, sf_dir, bound), EPSILON, SEED)
+def brand_release(spark: SparkSession, sf_dir: str) -> synthesis.Release:
+    return experiment.release(stored_graph(spark, sf_dir), brands(spark, sf_dir), EPSILON, SEED)
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,13 +70,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def both_sizes(f: Callable[[SparkSession, str, int | None], DataFrame]) -> Callable[[SparkSession, str, int | None], DataFrame]:
-    """Registers f over G_small, for its SQL, and over G_part as f_whole."""
-    Q[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir, SMALL))
-    Q[f"{f.__name__}_whole"] = lambda spark, sf_dir: rounded(f(spark, sf_dir, None))
-    return f
-
-
 # -- loading ---------------------------------------------------------------
 
 
@@ -121,10 +107,10 @@ def q_edge_lines(spark, d):
     return G.multiplicity(edge_sources.edge_lines(text))
 
 
-@both_sizes
-def q_csr_decode(spark, d, bound):
+@query
+def q_csr_decode(spark, d):
     """The binary format's arrays, decoded."""
-    g = stored_graph(spark, d, bound)
+    g = stored_graph(spark, d)
     arcs = G.both_ways(g.edges)
     links = ranked(arcs, F.col("src"), F.col("dst"), name="pos").select("pos", "dst")
     cum = running_total(G.degrees(g), [], "vid", F.col("deg"), "cum").select(F.col("vid").alias("idx"), "cum")
@@ -174,9 +160,9 @@ def q_neighbor_comm_weights(spark, d):
     return G.neighbour_weights(part_graph(spark, d).edges, brands(spark, d))
 
 
-@both_sizes
-def q_all_comm_weights(spark, d, bound):
-    return G.all_weights(stored_graph(spark, d, bound), brands(spark, d, bound))
+@query
+def q_all_comm_weights(spark, d):
+    return G.all_weights(stored_graph(spark, d), brands(spark, d))
 
 
 @query
@@ -228,39 +214,46 @@ def q_transitivity(spark, d):
     return metrics.triangle_counts(part_graph(spark, d)).select("transitivity")
 
 
-@both_sizes
-def q_common_neighbors(spark, d, bound):
-    return metrics.common_neighbours(stored_graph(spark, d, bound))
+@query
+def q_common_neighbors(spark, d):
+    return metrics.common_neighbours(stored_graph(spark, d))
 
 
-@both_sizes
-def q_non_neighbors(spark, d, bound):
-    return metrics.non_neighbours(stored_graph(spark, d, bound), brands(spark, d, bound))
+@query
+def q_non_neighbors(spark, d):
+    return metrics.non_neighbours(stored_graph(spark, d), brands(spark, d))
 
 
-@both_sizes
-def q_components(spark, d, bound):
-    return metrics.components(stored_graph(spark, d, bound))
+@query
+def q_components(spark, d):
+    return metrics.components(stored_graph(spark, d))
 
 
-@both_sizes
-def q_bfs_levels(spark, d, bound):
-    return metrics.bfs_levels(stored_graph(spark, d, bound), spark.range(1, 4).select(F.col("id").alias("vid")))
+@query
+def q_bfs_levels(spark, d):
+    return metrics.bfs_levels(stored_graph(spark, d), spark.range(1, 4).select(F.col("id").alias("vid")))
 
 
-@both_sizes
-def q_diameter(spark, d, bound):
-    return metrics.diameter(stored_graph(spark, d, bound))
+@query
+def q_diameter(spark, d):
+    return metrics.diameter(stored_graph(spark, d))
 
 
-@both_sizes
-def q_evc_10iter(spark, d, bound):
-    return metrics.eigenvector_centrality(stored_graph(spark, d, bound), 10)
+@query
+def q_evc_10iter(spark, d):
+    return metrics.eigenvector_centrality(stored_graph(spark, d), 10)
+
+
+@query
+def q_evc_converged(spark, d):
+    """Until it no longer changes."""
+    rows = metrics.eigenvector_centrality(stored_graph(spark, d), tolerance=1e-11)
+    return rows.select("vid", F.round("evc", 5).alias("evc"))
 
 
-@both_sizes
-def q_evc_topk(spark, d, bound):
-    rows = rounded(metrics.eigenvector_centrality(stored_graph(spark, d, bound), 10))
+@query
+def q_evc_topk(spark, d):
+    rows = rounded(metrics.eigenvector_centrality(stored_graph(spark, d), 10))
     return metrics.top_share(staged(rows, "evc"), "evc", 0.05).select("vid", "evc", "rank")
 
 
@@ -321,10 +314,10 @@ def q_laplace_degree(spark, d):
     return mechanisms.laplace_degrees(part_graph(spark, d), 2 / EPSILON, SEED)
 
 
-@both_sizes
-def q_norm_sub(spark, d, bound):
-    noisy = rounded(mechanisms.laplace_degrees(stored_graph(spark, d, bound), 20.0, SEED)).withColumn("noisy", F.col("noisy") - 15)
-    noisy = noisy.join(brands(spark, d, bound), "vid")
+@query
+def q_norm_sub(spark, d):
+    noisy = rounded(mechanisms.laplace_degrees(stored_graph(spark, d), 20.0, SEED)).withColumn("noisy", F.col("noisy") - 15)
+    noisy = noisy.join(brands(spark, d), "vid")
     return mechanisms.norm_sub(noisy, "noisy", ["com"], "fit").select("com", "vid", "noisy", "fit")
 
 
@@ -359,9 +352,9 @@ def q_init_neighbor_groups(spark, d):
     return mechanisms.score_groups(rounded(mechanisms.neighbour_scores(part_graph(spark, d), EPSILON, SEED, bound=60)), "score", 20)
 
 
-@both_sizes
-def q_em_batch(spark, d, bound):
-    return mechanisms.em_batch(stored_graph(spark, d, bound), G.renumbered(brands(spark, d, bound)), 4 * EPSILON, SEED, batch=1, batches=3)
+@query
+def q_em_batch(spark, d):
+    return mechanisms.em_batch(stored_graph(spark, d), G.renumbered(brands(spark, d)), 4 * EPSILON, SEED, batch=1, batches=3)
 
 
 @query
@@ -373,7 +366,15 @@ def q_em_exact(spark, d):
 @query
 def q_louvain(spark, d):
     g = stored_graph(spark, d)
-    return louvain.louvain(g.vertices, g.edges, seed=SEED)
+    return louvain.louvain_rounds(g.vertices, g.edges, seed=SEED)
+
+
+@query
+def q_louvain_exact(spark, d):
+    """Vertex after vertex, on the graph that the brands collapse it to."""
+    g = stored_graph(spark, d)
+    cells = G.induced(g.edges, brands(spark, d)).select(F.col("ci").alias("src"), F.col("cj").alias("dst"), F.col("w").alias("weight"))
+    return louvain.louvain(brands(spark, d).select(F.col("com").alias("vid")).distinct(), cells, seed=SEED)
 
 
 @query
@@ -400,24 +401,24 @@ def q_init_neighbor(spark, d):
 # -- synthesis -----------------------------------------------------------------
 
 
-@both_sizes
-def q_chung_lu(spark, d, bound):
-    return synthesis.chung_lu(brand_release(spark, d, bound).degrees, SEED)
+@query
+def q_chung_lu(spark, d):
+    return synthesis.chung_lu(brand_release(spark, d).degrees, SEED)
 
 
 @query
-def q_chung_lu_sparse(spark, d):
-    return synthesis.chung_lu_sparse(brand_release(spark, d).degrees, SEED)
+def q_chung_lu_pairs(spark, d):
+    return synthesis.chung_lu_pairs(brand_release(spark, d).degrees, SEED)
 
 
-@both_sizes
-def q_inter_uniform(spark, d, bound):
-    return synthesis.inter_uniform(brand_release(spark, d, bound), SEED)
+@query
+def q_inter_uniform(spark, d):
+    return synthesis.inter_uniform(brand_release(spark, d), SEED)
 
 
-@both_sizes
-def q_synth_original(spark, d, bound):
-    return synthesis.original(brand_release(spark, d, bound), SEED)
+@query
+def q_synth_original(spark, d):
+    return synthesis.original(brand_release(spark, d), SEED)
 
 
 @query
@@ -426,46 +427,35 @@ def q_weighted_sample(spark, d):
     return synthesis.sample_without_replacement(rows, ["com"], "deg", F.lit(5), SEED, "sample").select("com", "vid")
 
 
-@both_sizes
-def q_weighted_pick(spark, d, bound):
-    rows = brand_release(spark, d, bound).degrees
+@query
+def q_weighted_pick(spark, d):
+    rows = brand_release(spark, d).degrees
     asked = rows.select("com").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(10))))
     return synthesis.pick(asked, synthesis.slots(rows, F.greatest("target", F.lit(1))), "com", uniform(SEED, "pick", F.col("com"), F.col("k")), "vid").select("com", "k", "vid")
 
 
-@both_sizes
-def q_collision_free_accept(spark, d, bound):
-    r = brand_release(spark, d, bound)
+@query
+def q_collision_free_accept(spark, d):
+    r = brand_release(spark, d)
     base = staged(synthesis.chung_lu(r.degrees, SEED), "chung-lu")
-    return synthesis.v3(r, SEED, repair=False).join(base, ["src", "dst"], "left_anti")
-
-
-@both_sizes
-def q_synth_v3(spark, d, bound):
-    return synthesis.v3(brand_release(spark, d, bound), SEED, repair=False)
-
-
-@both_sizes
-def q_synth_v3_convert(spark, d, bound):
-    return synthesis.v3_convert(brand_release(spark, d, bound), SEED, repair=False)
-
-
-@both_sizes
-def q_synth_convert_oversample(spark, d, bound):
-    return synthesis.convert_oversample(brand_release(spark, d, bound), SEED)
+    return synthesis.v3(r, SEED, repair=None).join(base, ["src", "dst"], "left_anti")
 
 
 @query
-def q_synth_v3_repaired(spark, d):
-    """The method with its degree repair."""
+def q_synth_v3(spark, d):
     return synthesis.v3(brand_release(spark, d), SEED)
 
 
 @query
-def q_synth_v3_convert_repaired(spark, d):
+def q_synth_v3_convert(spark, d):
     return synthesis.v3_convert(brand_release(spark, d), SEED)
 
 
+@query
+def q_synth_convert_oversample(spark, d):
+    return synthesis.convert_oversample(brand_release(spark, d), SEED)
+
+
 @query
 def q_synth_v2(spark, d):
     return synthesis.v2(brand_release(spark, d), SEED)
@@ -479,7 +469,7 @@ def q_synth_v4(spark, d):
 @query
 def q_degree_repair(spark, d):
     r = brand_release(spark, d)
-    return synthesis.repair_degrees(synthesis.v3(r, SEED, repair=False), r.degrees, SEED)
+    return synthesis.repair_degrees(synthesis.v3(r, SEED, repair=None), r.degrees, SEED)
 
 
 @query
@@ -488,11 +478,11 @@ def q_repair_rounds(spark, d):
     return synthesis.repair_rounds(stored_graph(spark, d).edges, r.degrees, SEED)
 
 
-@both_sizes
-def q_prune_inter(spark, d, bound):
-    r = brand_release(spark, d, bound)
+@query
+def q_prune_inter(spark, d):
+    r = brand_release(spark, d)
     half = r.edge_counts.withColumn("ev", F.floor(F.col("ev") / 2))
-    return synthesis.excess_inter(stored_graph(spark, d, bound).edges, brands(spark, d, bound), half, SEED)
+    return synthesis.excess_inter(stored_graph(spark, d).edges, brands(spark, d), half, SEED)
 
 
 @query
@@ -505,18 +495,16 @@ def q_edge_swap(spark, d):
     return synthesis.edge_swap(stored_graph(spark, d).edges, brands(spark, d), SEED)
 
 
-@both_sizes
-def q_cross_cleanup(spark, d, bound):
-    return synthesis.cross_cleanup(stored_graph(spark, d, bound).edges, brands(spark, d, bound), SEED)
+@query
+def q_cross_cleanup(spark, d):
+    return synthesis.cross_cleanup(stored_graph(spark, d).edges, brands(spark, d), SEED)
 
 
 # -- influence -------------------------------------------------------------------
 
 
-def _weighted(spark, d, bound=None):
+def _weighted(spark, d):
     pairs = listed_pairs(spark, d).where(F.col("u") != F.col("v"))
-    if bound is not None:
-        pairs = pairs.where((F.col("u") <= bound) & (F.col("v") <= bound))
     return staged(G.multiplicity(pairs).select(F.col("u").alias("src"), F.col("v").alias("dst"), "weight"), "weighted")
 
 
@@ -525,16 +513,24 @@ def q_degree_discount(spark, d):
     return influence.degree_discount(_weighted(spark, d), 20)
 
 
-@both_sizes
-def q_ic_spread(spark, d, bound):
+@query
+def q_ic_spread(spark, d):
     seeds = spark.range(1, 6).select(F.col("id").alias("vid"))
-    return influence.cascades(_weighted(spark, d, bound), seeds, 50, 0.02, SEED)
+    return influence.cascades(_weighted(spark, d), seeds, 50, 0.02, SEED)
 
 
-@both_sizes
-def q_spread_mean(spark, d, bound):
+@query
+def q_spread_mean(spark, d):
     seeds = spark.range(1, 6).select(F.col("id").alias("vid"), F.col("id").cast("int").alias("rank"))
-    return influence.spread(_weighted(spark, d, bound), seeds, 50, 0.02, SEED, seed_size=3)
+    return influence.spread(_weighted(spark, d), seeds, 50, 0.02, SEED, seed_size=3)
+
+
+@query
+def q_influence(spark, d):
+    """Seeds from a synthetic graph, their spread on the original."""
+    made = synthesis.chung_lu(brand_release(spark, d).degrees, SEED)
+    made = staged(made.withColumn("weight", F.lit(2).cast("long")), "synthetic")
+    return influence.influence(made, _weighted(spark, d), seed_size=5, trials=20, p=0.02, seed=SEED)
 
 
 # -- experiments -----------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilgraph.functions.scalars import Split, auto_split, corrected_split, manual_split
 from veilgraph.operators import mechanisms, metrics, synthesis
 from veilgraph.operators.graph import Graph, degree_histogram, degrees, modularity
-from veilgraph.operators.louvain import louvain
+from veilgraph.operators.louvain import louvain, louvain_rounds
 from veilgraph.plans.staging import staged
 from veilgraph.sources.results import METRICS
 
@@ -30,11 +30,14 @@ class Baseline:
     modularity: float
 
 
-def measure(graph: Graph, seed: int = 0) -> Baseline:
-    labels = staged(louvain(graph.vertices, graph.edges, seed=seed), "labels")
+def measure(graph: Graph, seed: int = 0, exact: bool = False, bounded: bool = False) -> Baseline:
+    """exact: Louvain vertex after vertex in one task instead of in rounds;
+    bounded: a lower bound of the diameter by two searches instead of searches
+    from every vertex, which need the edges in every task."""
+    labels = staged((louvain if exact else louvain_rounds)(graph.vertices, graph.edges, seed=seed), "labels")
     top = metrics.top_share(staged(metrics.eigenvector_centrality(graph), "evc"), "evc")
     return Baseline(
-        labels, staged(degree_histogram(degrees(graph)), "histogram"), staged(top, "top"), metrics.diameter(graph).first()[0],
+        labels, staged(degree_histogram(degrees(graph)), "histogram"), staged(top, "top"), metrics.diameter_bound(graph) if bounded else metrics.diameter(graph).first()[0],
         metrics.triangle_counts(graph).first().transitivity, modularity(graph, labels).first()[0],
     )
 
@@ -51,11 +54,12 @@ def compare(a: Baseline, b: Baseline) -> dict[str, float | None]:
 
 
 def communities(graph: Graph, split: Split, group_size: int, resolution: float, seed: int, exact: bool = False) -> DataFrame:
-    """Initial groups and their adjustment, as renumbered (vid, com)."""
+    """Initial groups and their adjustment, as renumbered (vid, com). exact:
+    both by the sequential kernels, in one task each."""
     from veilgraph.operators.graph import renumbered
     from veilgraph.operators.louvain import em_exact
 
-    start = staged(mechanisms.init_random(graph, split.e1, group_size, seed, resolution), "initial")
+    start = staged(mechanisms.init_random(graph, split.e1, group_size, seed, resolution, exact), "initial")
     if exact:
         return staged(renumbered(em_exact(graph.vertices, graph.edges, start, split.e2, seed=seed)), "adjusted")
     return staged(mechanisms.adjust_communities(graph, start, split.e2, seed), "adjusted")
@@ -70,10 +74,13 @@ def release(graph: Graph, partition: DataFrame, epsilon: float, seed: int) -> sy
     return synthesis.Release(staged(d, "release-degrees"), staged(ev, "release-counts"))
 
 
-def publish(graph: Graph, epsilon: float, seed: int, *, e1_r: float = 1 / 3, e2_r: float = 1 / 3, group_size: int = 20, resolution: float = 1.0, method: str = "v3", auto: bool = False, exact: bool = False) -> Graph:
+def publish(graph: Graph, epsilon: float, seed: int, *, e1_r: float = 1 / 3, e2_r: float = 1 / 3, group_size: int = 20, resolution: float = 1.0, method: str = "v3", auto: bool = False, exact: bool = False, **options) -> Graph:
     """A synthetic graph over the same vertices. With auto, the split of the
     budget follows from the public size and mean degree, corrected once the
-    number of initial communities is known."""
+    number of initial communities is known. options go to the method
+    (convert_ratio, oversample, intra_ratio, repair, ...); repair runs in
+    rounds unless exact is asked for. No step gathers the graph in one task
+    unless exact does."""
     split = manual_split(epsilon, e1_r, e2_r)
     if auto:
         n, m = graph.vertices.count(), graph.edges.count()
@@ -83,13 +90,15 @@ def publish(graph: Graph, epsilon: float, seed: int, *, e1_r: float = 1 / 3, e2_
         split = Split(shares.e1 * epsilon, shares.e2 * epsilon, shares.e3 * epsilon)
     partition = communities(graph, split, group_size, resolution, seed, exact)
     out = release(graph, partition, split.e3, seed)
-    return Graph(graph.vertices, staged(synthesis.synthesize(out, seed, method), "synthetic"))
+    if exact and method in ("v2", "v3", "v3_convert", "v4"):
+        options = {"repair": "sequential"} | options
+    return Graph(graph.vertices, staged(synthesis.synthesize(out, seed, method, **options), "synthetic"))
 
 
 def run_table(spark: SparkSession, graph: Graph, cells: list[dict], runs: int, seed: int = 0) -> DataFrame:
     """One row per cell and run: the cell's parameters, exper and the seven
-    metrics. A cell is keyword arguments of publish, epsilon among them; a
-    cell that fails is skipped, its error kept in column error."""
+    metrics. A cell is keyword arguments of publish and of its method, epsilon
+    among them; a cell that fails is skipped, its error kept in column error."""
     base = measure(graph)
     rows = []
     for cell in cells:
@@ -97,7 +106,7 @@ def run_table(spark: SparkSession, graph: Graph, cells: list[dict], runs: int, s
             row = {("eps" if k == "epsilon" else k): v for k, v in cell.items()} | {"exper": float(run)}
             try:
                 row |= compare(base, measure(publish(graph, seed=seed + run, **cell))) | {"error": None}
-            except (ArithmeticError, ValueError) as e:
+            except (ArithmeticError, TypeError, ValueError) as e:
                 row |= dict.fromkeys(METRICS) | {"error": str(e)}
             rows.append(row)
     kind = lambda v: "string" if isinstance(v, str) else "boolean" if isinstance(v, bool) else "double"
@@ -107,6 +116,12 @@ def run_table(spark: SparkSession, graph: Graph, cells: list[dict], runs: int, s
     return spark.createDataFrame([tuple(float(r[c]) if isinstance(r.get(c), int) and not isinstance(r.get(c), bool) else r.get(c) for c in columns) for r in rows], schema)
 
 
+def run_datasets(spark: SparkSession, graphs: dict[str, Graph], cells: list[dict], runs: int, seed: int = 0) -> DataFrame:
+    """run_table for each of several graphs, with their names in dataset."""
+    tables = [run_table(spark, graph, cells, runs, seed).withColumn("dataset", F.lit(name)) for name, graph in graphs.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
 def sweep(**lists: list) -> list[dict]:
     """All combinations of the parameters' values."""
     return reduce(lambda cells, kv: [c | {kv[0]: v} for c in cells for v in kv[1]], lists.items(), [{}])
@@ -150,6 +165,7 @@ def pivoted(rows: DataFrame, metric: str, index: str = "e1_r", columns: str = "e
 EPSILONS = [0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5]
 GROUP_SIZES = [5, 10, 15, 20, 25, 30, 35]
 RESOLUTIONS = [0.2, 0.5, 0.8, 1.0, 1.2, 1.5]
+OVERSAMPLES = [1.3, 1.4, 1.5, 1.6]
 
 
 def vary_epsilon(spark: SparkSession, graph: Graph, runs: int = 10, epsilons: list[float] = EPSILONS, **fixed) -> DataFrame:
@@ -172,6 +188,13 @@ def vary_split(spark: SparkSession, graph: Graph, runs: int = 10, epsilon: float
     return run_table(spark, graph, [c | {"method": "original"} | fixed for c in cells], runs)
 
 
+def vary_oversample(spark: SparkSession, graphs: dict[str, Graph], runs: int = 10, oversamples: list[float] = OVERSAMPLES, convert_ratio: float = 0.9, epsilons: list[float] = EPSILONS, **fixed) -> DataFrame:
+    """Runs of convert_oversample over graphs, oversampling and the budget, at
+    one convert_ratio; summary(rows, ["dataset", "oversample"]) sums them up."""
+    cells = sweep(method=["convert_oversample"], oversample=oversamples, convert_ratio=[convert_ratio], epsilon=epsilons)
+    return run_datasets(spark, graphs, [c | fixed for c in cells], runs)
+
+
 def compare_methods(spark: SparkSession, graph: Graph, runs: int = 5, methods: list[str] | None = None, epsilons: list[float] = EPSILONS, **fixed) -> DataFrame:
     cells = sweep(method=methods or list(synthesis.METHODS), epsilon=epsilons)
     return run_table(spark, graph, [c | fixed for c in cells], runs)
