@@ -87,8 +87,13 @@ def assign_shards(
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:
-    """One folder per shard; files_per_shard tasks write each, so a large
-    shard isn't one task."""
+    """Writes (..., slot, shard) as Parquet, one folder per shard;
+    files_per_shard tasks write each, so a large shard isn't one task.
+
+    Null shards go to the folder of null values; repeated rows stay; a shard
+    without rows has no folder, and an empty table none; other columns are
+    written as they are; it is an error if path exists.
+    """
     salt = F.pmod(F.xxhash64("slot"), F.lit(files_per_shard))
     sharded.repartition("shard", salt).write.partitionBy("shard").parquet(path)
 
