@@ -20,6 +20,7 @@ components run over those.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ from veilgraph.plans.staging import staged, stored
 #: Fingerprints in a stripe, about, and links that are held before they are
 #: reduced to a forest.
 STRIPE, LINKS = 1 << 17, 1 << 20
+#: Comparisons of a pair of tiles up to which many pairs are taken together.
+TOGETHER = 1 << 11
 #: Parts of a fingerprint, and the base in which their counts are written:
 #: larger than a count plus twice any radius, so that neighbours never alias.
 PARTS, PART_BITS, BASE = 4, 16, 64
@@ -87,6 +90,7 @@ def _part_counts(fp: Column) -> list[Column]:
     return [F.bit_count(F.shiftrightunsigned(fp, PART_BITS * k).bitwiseAND(mask)) for k in range(PARTS)]
 
 
+@functools.cache
 def _near(radius: int) -> list[int]:
     """Differences of the cell number to the cells within the radius."""
     steps = range(-radius, radius + 1)
@@ -137,24 +141,41 @@ def tile_links(a: np.ndarray, b: np.ndarray, same: bool, radius: int, rows: int
     return a[x], b[y]
 
 
-def _tiles(cells: np.ndarray) -> dict[int, slice]:
-    """Where each cell stands among sorted cells."""
-    if not len(cells):
-        return {}
-    cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]
-    return {int(cells[a]): slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)}
+def _tiles(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ones of sorted cells, where each begins, and its size."""
+    first = np.flatnonzero(np.diff(cells, prepend=-1))
+    return cells[first], first, np.diff(first, append=len(cells))
 
 
 def stripe_links(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between two stripes (cells, fingerprints), in
-    order of cells, or within one."""
-    left, right = _tiles(a[0]), _tiles((b or a)[0])
+    order of cells, or within one. Small tiles are compared many pairs at a
+    time, large ones pair by pair."""
+    same, b = b is None, b or a
+    (name, a_first, a_size), (other, b_first, b_size) = _tiles(a[0]), _tiles(b[0])
     src, dst, held = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
-    for cell, here in left.items():
-        for step in _near(radius):
-            if (b is None and step < 0) or (there := right.get(cell + step)) is None:
-                continue
-            x, y = tile_links(a[1][here], (b or a)[1][there], b is None and not step, radius)
+    for step in _near(radius):
+        if (same and step < 0) or not len(other):
+            continue
+        at = np.minimum(np.searchsorted(other, name + step), len(other) - 1)
+        i = np.flatnonzero(other[at] == name + step)
+        j = at[i]
+        work = a_size[i] * b_size[j]
+        found = [tile_links(a[1][a_first[x] : a_first[x] + a_size[x]], b[1][b_first[y] : b_first[y] + b_size[y]], same and not step, radius) for x, y in zip(i[work > TOGETHER], j[work > TOGETHER], strict=True)]
+        i, j, work = i[work <= TOGETHER], j[work <= TOGETHER], work[work <= TOGETHER]
+        upto = np.cumsum(work)
+        cuts = np.unique([0, *np.searchsorted(upto, np.arange(1 << 22, int(upto[-1]) if len(upto) else 0, 1 << 22)).tolist(), len(work)])
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            n = work[begin:end]
+            pair = np.repeat(np.arange(begin, end), n)
+            place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            width = b_size[j[pair]]
+            x, y = a_first[i[pair]] + place // width, b_first[j[pair]] + place % width
+            near = np.bitwise_count(a[1][x] ^ b[1][y]) <= radius
+            if same and not step:
+                near &= x < y
+            found.append((a[1][x[near]], b[1][y[near]]))
+        for x, y in found:
             src.append(x)
             dst.append(y)
             held += len(x)
