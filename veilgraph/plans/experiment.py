@@ -81,6 +81,8 @@ def publish(graph: Graph, epsilon: float, seed: int, *, e1_r: float = 1 / 3, e2_
     (convert_ratio, oversample, intra_ratio, repair, ...); repair runs in
     rounds unless exact is asked for. No step gathers the graph in one task
     unless exact does."""
+    if method not in synthesis.METHODS:
+        raise ValueError(f"no method {method!r}; there is {', '.join(synthesis.METHODS)}")
     split = manual_split(epsilon, e1_r, e2_r)
     if auto:
         n, m = graph.vertices.count(), graph.edges.count()
