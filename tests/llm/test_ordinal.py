@@ -109,3 +109,21 @@ def test_sample(spark):
     many = spark.range(4000).selectExpr("id AS doc_id", "concat('some words ', id) AS text", "cast(id % 3 AS int) AS grade")
     assert 0 < len(ordinal.sample_rated(many, 3, 400, 1 << 30)[2]) < 600
     assert 0 < len(ordinal.sample_rated(many, 3, 4000, 1500)[2]) < 250
+
+
+def test_only_sampled_texts_are_joined_with_their_ratings(spark, rated, tmp_path):
+    """The join that counts the rated documents moves no text, and the sample
+    is that of the joined table."""
+    rated.select("doc_id", "text").write.parquet(str(tmp_path / "docs"))
+    docs, ratings = spark.read.parquet(str(tmp_path / "docs")), rated.select("doc_id", "grade")
+    seen = []
+    first = type(docs).first
+    type(docs).first = lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or first(df)
+    try:
+        got = ordinal.sample_rated(docs, 3, 300, 1 << 20, ratings)
+    finally:
+        type(docs).first = first
+    below = seen[0].split("Join", 1)[1].splitlines()
+    assert not any("text#" in x.split("AS key")[0].split("octet_length")[0] for x in below if "Project" in x)
+    want = ordinal.sample_rated(rated, 3, 300, 1 << 20)
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and 200 < len(got[2]) < 400

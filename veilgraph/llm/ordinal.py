@@ -143,12 +143,17 @@ def train(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int,
     return Model(w * size, thresholds(free))
 
 
-def sample_rated(rated: DataFrame, grades: int, limit: int, most_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sample_rated(rated: DataFrame, grades: int, limit: int, most_bytes: int, ratings: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All features and the grades of about limit rows of (doc_id, text,
     grade), or of fewer with about most_bytes of text: those with the smallest
-    hashes of id and text."""
-    rows = rated.where(F.col("grade").between(0, grades - 1)).select("text", F.col("grade").cast("int").alias("grade"), F.xxhash64("doc_id", "text").alias("key"))
-    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    hashes of id and text. With ratings (doc_id, grade) rated is (doc_id,
+    text): sizes and hashes are taken before the join, so that of the texts
+    only the sampled ones travel."""
+    held = ("grade",) if ratings is None else ()
+    rows = rated.select("doc_id", "text", *held, F.xxhash64("doc_id", "text").alias("key"), F.octet_length("text").alias("size"))
+    rows = rows if ratings is None else rows.join(ratings.select("doc_id", "grade"), "doc_id")
+    rows = rows.where(F.col("grade").between(0, grades - 1)).select("text", F.col("grade").cast("int").alias("grade"), "key", "size")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share = min(limit / max(n, 1), most_bytes / max(size, 1))
     cut_off = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))  # hashes are even
     # rows that share id and text share a hash: one of them, with the lowest of their grades
@@ -167,8 +172,9 @@ def sample_rated(rated: DataFrame, grades: int, limit: int, most_bytes: int) ->
     return doc, np.concatenate([*lists, np.zeros(0, np.int64)]), np.array([x[1] for x in found], np.int64)
 
 
-def fit(rated: DataFrame, grades: int = 3, limit: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """A model trained on a bounded sample of (doc_id, text, grade).
+def fit(rated: DataFrame, grades: int = 3, limit: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, ratings: DataFrame | None = None) -> Model | None:
+    """A model trained on a bounded sample of (doc_id, text, grade), or of
+    (doc_id, text) joined with ratings (doc_id, grade).
 
     Defined results: None without a rated row; rows with a null grade or one
     out of range are left out; rows that share id and text count once, with
@@ -176,7 +182,7 @@ def fit(rated: DataFrame, grades: int = 3, limit: int = SAMPLE, most_bytes: int
     texts are read whole, however long; reruns agree; extra columns are
     ignored.
     """
-    doc, feature, grade = sample_rated(rated, grades, limit, most_bytes)
+    doc, feature, grade = sample_rated(rated, grades, limit, most_bytes, ratings)
     return train(doc, feature, grade, grades) if len(grade) else None
 
 
@@ -225,5 +231,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", held_out().alias("held_out"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
-    rated = docs.where(~F.col("held_out")).join(labels.select("doc_id", grade.alias("grade")), "doc_id")
-    return grade_documents(docs, fit(rated)).drop("text")
+    ratings = labels.select("doc_id", grade.alias("grade"))
+    return grade_documents(docs, fit(docs.where(~F.col("held_out")), ratings=ratings)).drop("text")
