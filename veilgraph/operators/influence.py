@@ -3,10 +3,14 @@ cascades."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgraph.functions.noise import uniform
+from veilgraph.functions.keyed import Keys
 from veilgraph.functions.scalars import activation
 from veilgraph.operators.graph import both_ways
 from veilgraph.plans.staging import drop, staged
@@ -42,18 +46,38 @@ def degree_discount(edges: DataFrame, k: int, p: float = 0.01) -> DataFrame:
 def live_edges(edges: DataFrame, trials: int, p: float, seed: int) -> DataFrame:
     """(trial, src, dst): each edge is kept in each trial with the chance
     that one of its parallel edges passes a cascade on. As a cascade tries an
-    edge once at most, what it reaches is what live edges join to the seeds."""
-    rows = edges.select("src", "dst", "weight", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
-    return rows.where(uniform(seed, "cascade", F.col("trial"), F.col("src"), F.col("dst")) < activation(p, F.col("weight"))).select("trial", "src", "dst")
+    edge once at most, what it reaches is what live edges join to the seeds.
+    The draws are keyed by u and v if edges has these, else by src and dst. A
+    batch of edges draws for one trial after the other."""
+    key = ("u", "v") if "u" in edges.columns else ("src", "dst")
+    rows = edges.select("src", "dst", F.col(key[0]).alias("u"), F.col(key[1]).alias("v"), activation(p, F.col("weight")).alias("chance"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst, u, v, chance = (batch.column(k).to_numpy() for k in range(5))
+            keys = Keys(u, v)
+            for trial in range(trials):
+                at = np.flatnonzero(keys.uniform(f"{seed}|cascade|{trial}") < chance)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), trial, np.int32)), pa.array(src[at]), pa.array(dst[at])], ["trial", "src", "dst"])
+
+    return rows.mapInArrow(drawn, "trial int, src long, dst long")
 
 
 def cascades(edges: DataFrame, seeds: DataFrame, trials: int = 100, p: float = 0.01, seed: int = 0) -> DataFrame:
     """(trial, size): vertices that each trial's cascade activates, seeds
-    included. A seed that the graph lacks counts as an isolated vertex."""
-    live = staged(both_ways(live_edges(edges, trials, p, seed)), "live-edges")
+    included. A seed that the graph lacks counts as an isolated vertex. An
+    edge draws, for all trials, when one of its ends is first reached in any:
+    what no cascade comes to costs nothing."""
+    paths = both_ways(edges.select("src", "dst", F.col("src").alias("u"), F.col("dst").alias("v"), "weight"))
     seen = seeds.select("vid").distinct().select(F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"), "vid")
     seen = frontier = staged(seen, "cascade")
+    live = known = None
     while not frontier.isEmpty():
+        first = frontier.select(F.col("vid").alias("src")).distinct()
+        first = staged(first if known is None else first.join(known, "src", "left_anti"), "cascade-reached")
+        if not first.isEmpty():
+            more = staged(live_edges(paths.join(first, "src", "left_semi"), trials, p, seed), "live-edges")
+            live, known = (more, first) if known is None else (live.unionByName(more), known.unionByName(first))
         step = frontier.select("trial", F.col("vid").alias("src")).join(live, ["trial", "src"]).select("trial", F.col("dst").alias("vid")).distinct()
         frontier = staged(step.join(seen, ["trial", "vid"], "left_anti"), "cascade")
         seen = seen.unionByName(frontier)
