@@ -186,6 +186,28 @@ def test_exact_pass(spark):
     assert got == dict(enumerate(now))
 
 
+def test_exact_pass_holds_no_edges(spark, tmp_path):
+    """The one task gets a vertex's neighbours at a time, also in a second
+    pass, and makes of them what the plain pass makes."""
+    edges, com, _ = world(30, 5, 0.3, 8)
+    e, part = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(list(enumerate(com)), "vid long, com long")
+    made = louvain.em_exact(part.select("vid"), e, part, 6.0, seed=SEED, passes=2)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    m, now = matrix(edges, 30), list(com)
+    for turn in range(2):
+        for x in sorted(range(30), key=lambda x: unit(f"em-order-{turn}", x)):  # noqa: B023
+            live = sorted(set(now))
+            weight = [math.exp(6.0 / 8 * sum(m[x, y] for y in range(30) if now[y] == c)) for c in live]
+            at, total = unit(f"em-{turn}", x) * sum(weight), 0.0
+            for c, w in zip(live, weight, strict=True):
+                total += w
+                if at < total:
+                    now[x] = c
+                    break
+    assert dict(rows(made)) == dict(enumerate(now))
+
+
 def modularity(edges, label):
     m = len(edges)
     return sum(label[a] == label[b] for a, b in edges) / m - sum((sum((label[a] == c) + (label[b] == c) for a, b in edges) / (2 * m)) ** 2 for c in set(label.values()))
