@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from veilgraph.functions.keyed import CHUNK, Keys
 from veilgraph.functions.noise import uniform
 from veilgraph.functions.scalars import activation
-from veilgraph.operators import influence, synthesis
+from veilgraph.operators import graph as G
+from veilgraph.operators import influence, metrics, synthesis
 
 
 def rows(df):
@@ -46,6 +47,28 @@ def test_cascades_draw_only_where_they_can_come(spark, monkeypatch):
         assert got[trial] == len(reached)
 
 
+@pytest.mark.parametrize(("block", "step"), [(4, 3), (8192, 5)])
+def test_pairs_of_a_community_in_blocks(spark, monkeypatch, block, step):
+    monkeypatch.setattr(synthesis, "BLOCK", block)
+    monkeypatch.setattr(synthesis, "STEP", step)
+    degrees = spark.createDataFrame([(v % 3, v * 3, v % 7) for v in range(60)], "com long, vid long, target long")
+    u, v = degrees.where("target > 0").alias("u"), degrees.where("target > 0").alias("v")
+    both = u.join(v, F.expr("u.com = v.com and u.vid < v.vid"))
+    total = degrees.groupBy(F.col("com").alias("c")).agg(F.sum("target").alias("s"))
+    both = both.join(total, F.col("u.com") == F.col("c"))
+    want = both.where(uniform(4, "chung-lu", F.col("u.vid"), F.col("v.vid")) * F.col("s") < F.col("u.target") * F.col("v.target"))
+    made = synthesis.chung_lu_pairs(degrees, 4)
+    assert rows(made) == rows(want.select("u.vid", "v.vid"))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]  # no pair travels
+    edges = made.unionByName(spark.createDataFrame([(0, 1)], "src long, dst long"))
+    part = degrees.select("vid", "com")
+    free = metrics.non_neighbours(G.Graph(part.select("vid"), edges), part)
+    near = {tuple(r) for r in edges.collect()}
+    vids = {r.vid: r.com for r in part.collect()}
+    assert rows(free) == sorted((c, a, b) for a, c in vids.items() for b, k in vids.items() if a < b and c == k and (a, b) not in near)
+    assert "LeftAnti" not in free._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_slots_are_never_broadcast(spark):
     degrees = spark.createDataFrame([(0, v, 3) for v in range(9)], "com long, vid long, target long")
     asked = spark.range(50).select(F.lit(0).cast("long").alias("com"), "id")
