@@ -74,3 +74,65 @@ def test_slots_are_never_broadcast(spark):
     asked = spark.range(50).select(F.lit(0).cast("long").alias("com"), "id")
     got = synthesis.pick(asked, synthesis.slots(degrees, F.col("target")), "com", uniform(1, "t", F.col("id")), "v")
     assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _longest(pairs):
+    """The largest distance in a graph, by a search from every vertex."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    most = 0
+    for v in near:
+        seen, edge, depth = {v}, {v}, 0
+        while edge := {x for y in edge for x in near[y]} - seen:
+            seen, depth = seen | edge, depth + 1
+        most = max(most, depth)
+    return most
+
+
+def _lumps():
+    """A ring with chords, a wheel, a path and many pairs, all apart."""
+    ring = [(v, (v + 1) % 300) for v in range(300)] + [(v, (v * 7) % 300) for v in range(0, 300, 9)]
+    wheel = [(1000, 1001 + v) for v in range(90)] + [(1001 + v, 1001 + (v + 1) % 90) for v in range(90)]
+    path = [(2000 + v, 2001 + v) for v in range(9)]
+    apart = [(3000 + 2 * v, 3001 + 2 * v) for v in range(40)]
+    tidy = [sorted({(min(e), max(e)) for e in part if e[0] != e[1]}) for part in (ring, wheel, path)]
+    return [*tidy, apart]
+
+
+@pytest.mark.parametrize(("sources", "arcs", "near"), [(512, 1 << 18, 32), (64, 3, 8), (7, 50, 8)])
+def test_distances_within_a_component(monkeypatch, sources, arcs, near):
+    monkeypatch.setattr(metrics, "SOURCES", sources)
+    monkeypatch.setattr(metrics, "ARCS", arcs)
+    monkeypatch.setattr(metrics, "NEAR", near)
+    for part in _lumps()[:3]:
+        src, dst = np.array(part).T
+        assert metrics._component_depth(src, dst, 0, 1) == max(metrics._component_depth(src, dst, k, 3) for k in range(3)) == _longest(part)
+
+
+@pytest.mark.parametrize("limits", [{}, {"FEW_EDGES": 100, "SOURCES": 64}])
+def test_diameter_gathers_no_edges(spark, monkeypatch, limits):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refuse(*_, **__):
+        raise AssertionError("edges on the driver")
+
+    monkeypatch.setattr(DataFrame, "toArrow", refuse)
+    for name, value in limits.items():
+        monkeypatch.setattr(metrics, name, value)
+    edges = [e for part in _lumps() for e in part]
+    ring = _longest(_lumps()[0])
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    vertices = spark.createDataFrame([(v,) for v in {x for e in edges for x in e} | {9999}], "vid long")
+    got = metrics.diameter(G.Graph(vertices, frame))
+    assert rows(got) == [(max(ring, 9),)] and got.schema["diameter"].dataType.simpleString() == "int"
+    assert rows(metrics.diameter(G.Graph(vertices, frame.limit(0)))) == [(0,)]
+
+
+def test_diameter_of_what_no_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "TASK_EDGES", 6)
+    monkeypatch.setattr(metrics, "SEARCHES", 3)
+    edges = [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3), (2, 4), (4, 5), (10, 11)]
+    vertices = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 4, 5, 10, 11)], "vid long")
+    assert rows(metrics.diameter(G.Graph(vertices, spark.createDataFrame(edges, "src long, dst long")))) == [(_longest(edges),)]
