@@ -136,3 +136,39 @@ def test_diameter_of_what_no_task_holds(spark, monkeypatch):
     edges = [(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3), (2, 4), (4, 5), (10, 11)]
     vertices = spark.createDataFrame([(v,) for v in (0, 1, 2, 3, 4, 5, 10, 11)], "vid long")
     assert rows(metrics.diameter(G.Graph(vertices, spark.createDataFrame(edges, "src long, dst long")))) == [(_longest(edges),)]
+
+
+@pytest.mark.parametrize("scale", [1, 10**14])
+def test_a_round_of_louvain_moves_in_blocks(spark, scale):
+    """Dense and scattered numbers, weights, and labels that are taken: each
+    half moves as one after the other on a snapshot would, and arcs stay packed."""
+    from veilgraph.operators import louvain
+
+    pairs = {(a, b): float(1 + (a + b) % 3) for a in range(60) for b in range(a + 1, 60) if (a * 7 + b * 5) % 9 == 0}
+    total, com = sum(pairs.values()), {v: v // 2 * 2 for v in range(60)}
+    strength = {v: sum(w for e, w in pairs.items() if v in e) for v in com}
+    near = spark.createDataFrame([(a * scale, b * scale, w) for (a, b), w in pairs.items()], "src long, dst long, w double")
+    labels = spark.createDataFrame([(v * scale, c * scale, strength[v]) for v, c in com.items()], "vid long, com long, strength double")
+    block = louvain._blocks(labels, 2 * len(pairs))
+    labels = labels.withColumn("block", block("vid"))
+    assert labels.select("block").distinct().count() > 3
+    arcs = louvain._packed(near, block, 5)
+    ends = arcs.select("block", F.explode("there").alias("there")).distinct()
+    need = ends.unionByName(ends.select("block", F.col("block").alias("there"))).distinct()
+    got, want = {}, {}
+    for half in range(2):
+        moved = louvain._moved(arcs.where(F.col("half") == half), need, labels, total, 0.9)
+        assert "dst#" not in "".join(x for x in moved._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+        got |= dict(moved.collect())
+    for v in com:
+        into = {com[v]: 0.0}
+        for (a, b), w in pairs.items():
+            if v in (a, b):
+                c = com[b if a == v else a]
+                into[c] = into.get(c, 0.0) + w
+        rest = {c: sum(strength[x] for x in com if com[x] == c and x != v) for c in into}
+        gain = {c: 0.9 * n - rest[c] * strength[v] / (2 * total) for c, n in into.items()}
+        best = max(gain, key=lambda c: (gain[c], -c))
+        if gain[best] > gain[com[v]] + 1e-12:
+            want[v * scale] = best * scale
+    assert got == want and want
