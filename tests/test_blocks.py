@@ -172,3 +172,20 @@ def test_a_round_of_louvain_moves_in_blocks(spark, scale):
         if gain[best] > gain[com[v]] + 1e-12:
             want[v * scale] = best * scale
     assert got == want and want
+
+
+@pytest.mark.parametrize("epsilon", [0.8, 3.0])
+def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon):
+    from veilgraph.operators import mechanisms
+
+    monkeypatch.setattr(mechanisms, "LEAST_SIDE", 6)
+    edges = spark.createDataFrame([(a, b) for a in range(80) for b in range(a + 1, 80) if (a * 7 + b * 5) % 9 == 0], "src long, dst long")
+    groups = spark.range(80).select(F.col("id").alias("vid"), F.floor(F.col("id") * 7 % 80 / 2).cast("long").alias("com"))
+    want = rows(mechanisms.noisy_super_graph(edges, groups, epsilon, 5).where("w > 0").select("ci", "cj", "w"))
+
+    def refuse(*_, **__):
+        raise AssertionError("cells that travel")
+
+    monkeypatch.setattr(mechanisms, "noisy_super_graph", refuse)
+    assert rows(mechanisms.noisy_links(edges, groups, epsilon, 5)) == want and len(want) > 9
+    assert mechanisms.group_communities(edges, groups, epsilon, 5).count() == 80

@@ -8,10 +8,16 @@ noisy tables only; cells that are empty get noise like any other.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgraph.functions.keyed import Keys
 from veilgraph.functions.noise import gumbel, laplace, uniform
 from veilgraph.functions.scalars import clip_bound
 from veilgraph.operators.graph import Graph, both_ways, community_matrix, community_pairs, degrees, induced, intra_degrees, neighbour_weights
@@ -38,7 +44,16 @@ def norm_sub(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     rows = df.withColumn(out, x)
     by = keys or [F.lit(0).alias("_all")]
     names = keys or ["_all"]
-    hist = rows.groupBy(*by, F.col(out).alias("at")).agg(F.count("*").alias("n"))
+    best = _shifts(rows.groupBy(*by, F.col(out).alias("at")).agg(F.count("*").alias("n")), names)
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    joined = rows.join(best, names, "left")
+    kept = F.when(F.col("_none"), F.lit(0)).when(F.col("_shift").isNotNull(), F.greatest(F.col(out) - F.col("_shift"), F.lit(0))).otherwise(F.col(out))
+    return joined.withColumn(out, kept.cast("long")).drop("_shift", "_none", "_all")
+
+
+def _shifts(hist: DataFrame, names: list[str]) -> DataFrame:
+    """(names, _shift, _none) of groups that hold negatives, from the counts n
+    of their values at: the shift of norm_sub, and whether none is near."""
     span = hist.groupBy(*names).agg(F.min("at").alias("low"), F.sum(F.col("at") * F.col("n")).alias("total"))
     # what lies above each value: totals of runs of values from the largest down
     line = hist.join(span.where("low < 0"), names).where("at >= 0").withColumn("down", -F.col("at"))
@@ -59,11 +74,7 @@ def norm_sub(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
     sums = sums.select(*names, "low", "total", "count", "mass", F.col("i").cast("long").alias("i")).unionByName(ends).where("i < -low")
     gap = F.abs(F.col("mass") - F.col("i") * F.col("count") - F.col("total"))
     best = sums.groupBy(*names).agg(F.min(F.struct(gap.alias("gap"), F.col("i").alias("shift"))).alias("b"))
-    best = best.select(*names, F.col("b.shift").alias("_shift"), (F.col("b.gap") >= FARTHEST).alias("_none"))
-    rows = rows if keys else rows.withColumn("_all", F.lit(0))
-    joined = rows.join(best, names, "left")
-    kept = F.when(F.col("_none"), F.lit(0)).when(F.col("_shift").isNotNull(), F.greatest(F.col(out) - F.col("_shift"), F.lit(0))).otherwise(F.col(out))
-    return joined.withColumn(out, kept.cast("long")).drop("_shift", "_none", "_all")
+    return best.select(*names, F.col("b.shift").alias("_shift"), (F.col("b.gap") >= FARTHEST).alias("_none"))
 
 
 METHODS = {"norm_sub": norm_sub}
@@ -123,13 +134,89 @@ def noisy_super_graph(edges: DataFrame, groups: DataFrame, epsilon: float, seed:
     return norm_sub(noisy, "noisy", ["inner"], "fit").select("ci", "cj", F.col("fit").alias("w"))
 
 
+#: Groups of a block whose cells are made in one task, at most and at least.
+SIDE, LEAST_SIDE = 8192, 64
+
+
+def _noise(keys: Keys, prefix: str, scale: float) -> np.ndarray:
+    """laplace(scale, uniform(...)) of the keys under a prefix."""
+    u = keys.uniform(prefix)
+    return np.where(u < 0.5, scale * np.log(2 * u), -scale * np.log(2 * (1 - u)))
+
+
+def noisy_links(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int) -> DataFrame:
+    """(src, dst, weight): the cells of noisy_super_graph that are not 0.
+    Groups are numbered from 0 without gaps. Every cell gets its noise, block
+    against block of groups, and is counted by its value; once the shift is
+    known the cells are made again and those above it returned. Only the
+    edges between groups travel, never a cell."""
+    spark = edges.sparkSession
+    low, high, many = groups.agg(F.min("com"), F.max("com"), F.countDistinct("com")).first()
+    if not many or low != 0 or high + 1 != many:
+        cells = staged(noisy_super_graph(edges, groups, epsilon, seed), "super-graph")
+        return cells.where("w > 0").select(F.col("ci").alias("src"), F.col("cj").alias("dst"), F.col("w").alias("weight"))
+    side = max(LEAST_SIDE, min(SIDE, -(-many // 8)))
+    at = lambda c: F.floor(F.col(c) / side).cast("int")
+    counts = staged(induced(edges, groups).select(at("ci").alias("p"), at("cj").alias("q"), "ci", "cj", "w"), "super-counts")
+    block = spark.range(-(-many // side)).select(F.col("id").cast("int").alias("p"))
+    pairs = block.join(block.withColumnRenamed("p", "q"), F.col("p") <= F.col("q"))
+    none = F.lit(None).cast("long")
+    rows = counts.unionByName(pairs.select("p", "q", none.alias("ci"), none.alias("cj"), none.alias("w")))
+
+    def made(table: pa.Table) -> Iterator[tuple[bool, np.ndarray | int, np.ndarray, np.ndarray]]:
+        """(inner, ci, cj, value) for runs of cells; a value is truncated."""
+        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        table = table.filter(pc.is_valid(table.column("ci"))).sort_by("ci")
+        ci, cj, w = (table.column(c).to_numpy() for c in ("ci", "cj", "w"))
+        there = np.arange(q * side, min((q + 1) * side, many))
+        if p == q:
+            loops = np.zeros(len(there))
+            loops[ci[ci == cj] - there[0]] = 2 * w[ci == cj]
+            yield True, there, there, np.trunc(loops + _noise(Keys(there, there), f"{seed}|super-graph", 2 / epsilon)).astype(np.int64)
+            ci, cj, w = ci[ci < cj], cj[ci < cj], w[ci < cj]
+        for i in range(p * side, min((p + 1) * side, many)):
+            if i == p * side or p == q and i % 512 == 0:  # within a block only the later groups
+                begin = i if p == q else there[0]
+                keys = Keys(there[there >= begin])
+            value = _noise(keys, f"{seed}|super-graph|{i}", 1 / epsilon)
+            a, b = np.searchsorted(ci, (i, i + 1))
+            value[cj[a:b] - begin] += w[a:b]
+            skip = i + 1 - begin if p == q else 0
+            yield False, i, there[begin - there[0] + skip :], np.trunc(value[skip:]).astype(np.int64)
+
+    def counted(table: pa.Table) -> pa.Table:
+        found: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for inner, _, _, value in made(table):
+            if len(value):
+                least = int(value.min())
+                n = np.bincount(value - least) if int(value.max()) - least < 1 << 20 else None
+                values, n = (np.flatnonzero(n) + least, n[n > 0]) if n is not None else np.unique(value, return_counts=True)
+                found[inner].update(dict(zip(values.tolist(), n.tolist(), strict=True)))
+        rows = [(inner, x, n) for inner, count in found.items() for x, n in count.items()]
+        return pa.table({"inner": pa.array([r[0] for r in rows], pa.bool_()), "at": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
+
+    hist = rows.groupBy("p", "q").applyInArrow(counted, "inner boolean, at long, n long")
+    hist = staged(hist.groupBy("inner", "at").agg(F.sum("n").alias("n")), "super-values")
+    shifts = {r.inner: None if r["_none"] else r["_shift"] for r in _shifts(hist, ["inner"]).collect()}
+
+    def kept(table: pa.Table) -> pa.Table:
+        parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for inner, i, j, value in made(table):
+            shift = shifts.get(inner, 0)
+            hit = np.flatnonzero(value > shift) if shift is not None else []
+            if len(hit):
+                parts.append((i[hit] if inner else np.full(len(hit), i), j[hit], value[hit] - shift))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["src", "dst", "weight"])
+
+    return rows.groupBy("p", "q").applyInArrow(kept, "src long, dst long, weight long")
+
+
 def group_communities(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int, resolution: float = 1.0, exact: bool = False) -> DataFrame:
     """(vid, com): Louvain over the noisy super-graph, groups expanded to
     their vertices.  The weight of a group's loop is its diagonal cell.  In
     rounds; with exact, vertex after vertex in one task."""
-    cells = staged(noisy_super_graph(edges, groups, epsilon, seed), "super-graph")
+    links = staged(noisy_links(edges, groups, epsilon, seed), "super-graph")
     nodes = groups.select(F.col("com").alias("vid")).distinct()
-    links = cells.where("w > 0").select(F.col("ci").alias("src"), F.col("cj").alias("dst"), F.col("w").alias("weight"))
     found = (louvain if exact else louvain_rounds)(nodes, links, resolution, seed).select(F.col("vid").alias("g"), F.col("com").alias("c"))
     return groups.join(found, F.col("com") == F.col("g")).select("vid", F.col("c").alias("com"))
 
