@@ -174,8 +174,8 @@ def test_a_round_of_louvain_moves_in_blocks(spark, scale):
     assert got == want and want
 
 
-@pytest.mark.parametrize("epsilon", [0.8, 3.0])
-def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon):
+@pytest.mark.parametrize(("epsilon", "guess"), [(0.8, None), (0.3, 50), (3.0, None)])
+def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon, guess):
     from veilgraph.operators import mechanisms
 
     monkeypatch.setattr(mechanisms, "LEAST_SIDE", 6)
@@ -187,5 +187,8 @@ def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon):
         raise AssertionError("cells that travel")
 
     monkeypatch.setattr(mechanisms, "noisy_super_graph", refuse)
+    if guess:  # too high
+        monkeypatch.setattr(mechanisms, "_least_shift", lambda *_: guess)
     assert rows(mechanisms.noisy_links(edges, groups, epsilon, 5)) == want and len(want) > 9
-    assert mechanisms.group_communities(edges, groups, epsilon, 5).count() == 80
+    monkeypatch.setattr(mechanisms, "louvain_rounds", lambda nodes, links, *_: nodes.select("vid", (F.col("vid") * links.count()).alias("com")))
+    assert mechanisms.group_communities(edges, groups, epsilon, 5).agg(F.max("com")).first()[0] == 39 * len(want)

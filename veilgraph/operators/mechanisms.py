@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,18 +144,24 @@ def _noise(keys: Keys, prefix: str, scale: float) -> np.ndarray:
     return np.where(u < 0.5, scale * np.log(2 * u), -scale * np.log(2 * (1 - u)))
 
 
+def _least_shift(groups: int, total: int, scale: float) -> int:
+    """About the shift at which noise alone brings the total."""
+    above = groups * (groups - 1) / 4 * math.exp(-1 / scale) / (1 - math.exp(-1 / scale))  # 0
+    return max(0, math.floor(scale * math.log(max(1.0, above / total))))
+
+
 def noisy_links(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int) -> DataFrame:
     """(src, dst, weight): the cells of noisy_super_graph that are not 0.
     Groups are numbered from 0 without gaps. Every cell gets its noise, block
-    against block of groups, and is counted by its value; once the shift is
-    known the cells are made again and those above it returned. Only the
-    edges between groups travel, never a cell."""
-    spark = edges.sparkSession
+    against block of groups, and is counted by its value; those above a guess
+    at the shift are kept, and should the shift be below it, all cells are made
+    again. Only the edges between groups travel, never a cell."""
+    spark, scale = edges.sparkSession, 1 / epsilon
     low, high, many = groups.agg(F.min("com"), F.max("com"), F.countDistinct("com")).first()
     if not many or low != 0 or high + 1 != many:
         cells = staged(noisy_super_graph(edges, groups, epsilon, seed), "super-graph")
         return cells.where("w > 0").select(F.col("ci").alias("src"), F.col("cj").alias("dst"), F.col("w").alias("weight"))
-    side = max(LEAST_SIDE, min(SIDE, -(-many // 8)))
+    side = max(LEAST_SIDE, min(SIDE, -(-many // 4)))
     at = lambda c: F.floor(F.col(c) / side).cast("int")
     counts = staged(induced(edges, groups).select(at("ci").alias("p"), at("cj").alias("q"), "ci", "cj", "w"), "super-counts")
     block = spark.range(-(-many // side)).select(F.col("id").cast("int").alias("p"))
@@ -184,31 +190,49 @@ def noisy_links(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int)
             skip = i + 1 - begin if p == q else 0
             yield False, i, there[begin - there[0] + skip :], np.trunc(value[skip:]).astype(np.int64)
 
-    def counted(table: pa.Table) -> pa.Table:
-        found: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        for inner, _, _, value in made(table):
-            if len(value):
-                least = int(value.min())
-                n = np.bincount(value - least) if int(value.max()) - least < 1 << 20 else None
-                values, n = (np.flatnonzero(n) + least, n[n > 0]) if n is not None else np.unique(value, return_counts=True)
-                found[inner].update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-        rows = [(inner, x, n) for inner, count in found.items() for x, n in count.items()]
-        return pa.table({"inner": pa.array([r[0] for r in rows], pa.bool_()), "at": pa.array([r[1] for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64())})
-
-    hist = rows.groupBy("p", "q").applyInArrow(counted, "inner boolean, at long, n long")
-    hist = staged(hist.groupBy("inner", "at").agg(F.sum("n").alias("n")), "super-values")
-    shifts = {r.inner: None if r["_none"] else r["_shift"] for r in _shifts(hist, ["inner"]).collect()}
-
-    def kept(table: pa.Table) -> pa.Table:
-        parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
-        for inner, i, j, value in made(table):
-            shift = shifts.get(inner, 0)
-            hit = np.flatnonzero(value > shift) if shift is not None else []
-            if len(hit):
-                parts.append((i[hit] if inner else np.full(len(hit), i), j[hit], value[hit] - shift))
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["src", "dst", "weight"])
-
-    return rows.groupBy("p", "q").applyInArrow(kept, "src long, dst long, weight long")
+    m = counts.where("ci < cj").agg(F.sum("w")).first()[0] or 1
+    guess = {True: 0, False: _least_shift(many, m, scale)}
+
+    def above(least: dict[bool, int | None], count: bool) -> Callable[[pa.Table], pa.Table]:
+        """Makes a block's cells above the least value of their kind, then, to
+        be counted, how many of all have each value."""
+
+        def run(table: pa.Table) -> pa.Table:
+            found: list[tuple[np.ndarray, ...]] = []
+            values: dict[bool, Counter] = {True: Counter(), False: Counter()}
+            for inner, i, j, value in made(table):
+                hit = np.flatnonzero(value > least[inner]) if least[inner] is not None else []
+                if len(hit):
+                    found.append((np.broadcast_to(i, j.shape)[hit], j[hit], value[hit]))
+                if count and len(value):
+                    low = int(value.min())
+                    if int(value.max()) - low < 1 << 20:
+                        n = np.bincount(value - low)
+                        x, n = np.flatnonzero(n) + low, n[n > 0]
+                    else:
+                        x, n = np.unique(value, return_counts=True)
+                    values[inner].update(dict(zip(x.tolist(), n.tolist(), strict=True)))
+            cells = [np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*found, strict=True) if found else ((), (), ()))]
+            rest = [(inner, x, n) for inner, all_of in values.items() for x, n in all_of.items()]
+            own = (cells[0] == cells[1]).tolist()
+            gone = [None] * len(rest)
+            columns = [
+                pa.array(own + [r[0] for r in rest], pa.bool_()), pa.array(np.concatenate([cells[2], np.array([r[1] for r in rest], np.int64)])), pa.array([None] * len(own) + [r[2] for r in rest], pa.int64()),
+                pa.chunked_array([pa.array(cells[0], pa.int64()), pa.array(gone, pa.int64())]), pa.chunked_array([pa.array(cells[1], pa.int64()), pa.array(gone, pa.int64())]),
+            ]
+            return pa.table(columns, ["inner", "at", "n", "src", "dst"])
+
+        return run
+
+    schema = "inner boolean, at long, n long, src long, dst long"
+    first = staged(rows.groupBy("p", "q").applyInArrow(above(guess, True), schema), "super-values")
+    hist = first.where("n is not null").groupBy("inner", "at").agg(F.sum("n").alias("n"))
+    shifts = {True: 0, False: 0} | {r.inner: None if r["_none"] else r["_shift"] for r in _shifts(staged(hist, "super-counted"), ["inner"]).collect()}
+    cells = first.where("src is not null")
+    if any(x is not None and x < guess[inner] for inner, x in shifts.items()):  # the guess was too high
+        cells = rows.groupBy("p", "q").applyInArrow(above(shifts, False), schema)
+    shift = F.when(F.col("inner"), F.lit(shifts[True])).otherwise(F.lit(shifts[False]))
+    return cells.where(F.col("at") > shift).select("src", "dst", (F.col("at") - shift).cast("long").alias("weight"))
 
 
 def group_communities(edges: DataFrame, groups: DataFrame, epsilon: float, seed: int, resolution: float = 1.0, exact: bool = False) -> DataFrame:
