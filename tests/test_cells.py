@@ -39,3 +39,15 @@ def test_samples_of_cells_do_not_travel(spark, monkeypatch):
     r = release(spark, size=8, coms=3)
     for method in (synthesis.v2, synthesis.v3, synthesis.v3_convert, synthesis.v4):
         assert method(r, 3, repair=None).count() > 0
+
+
+def test_sequential_repair_fills_communities_apart(spark):
+    """A task has the vertices of one community only, and what it draws doesn't
+    depend on which others there are."""
+    degrees = spark.createDataFrame([(v % 4, v, 3 + v % 5) for v in range(80)], "com long, vid long, target long")
+    edges = spark.createDataFrame([(v, v + 1) for v in range(79)], "src long, dst long")
+    wanted = synthesis._repair_targets(degrees, 0.3)
+    all_made = rows(synthesis._fill_in_order(edges, wanted, 3))
+    assert {a % 4 for a, _ in all_made} == {0, 1, 2, 3} and all(a < b and a % 4 == b % 4 for a, b in all_made)
+    alone = rows(synthesis._fill_in_order(edges, wanted.where("com = 2"), 3))
+    assert alone == [(a, b) for a, b in all_made if a % 4 == 2]
