@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilgraph.operators import synthesis
+from veilgraph.operators import graph as G
+from veilgraph.operators import metrics, synthesis
 
 
 def rows(df):
@@ -51,3 +52,19 @@ def test_sequential_repair_fills_communities_apart(spark):
     assert {a % 4 for a, _ in all_made} == {0, 1, 2, 3} and all(a < b and a % 4 == b % 4 for a, b in all_made)
     alone = rows(synthesis._fill_in_order(edges, wanted.where("com = 2"), 3))
     assert alone == [(a, b) for a, b in all_made if a % 4 == 2]
+
+
+@pytest.mark.parametrize("arcs", [1 << 22, 60, 1])
+def test_common_neighbours_in_blocks(spark, monkeypatch, arcs):
+    """No exchange of wedges or counts: what the last tasks return is the result."""
+    pairs = [(a * 3, b * 3) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 5) % 6 == 0 or a == 4]
+    graph = G.Graph(spark.range(0, 120, 3).withColumnRenamed("id", "vid"), spark.createDataFrame(pairs, "src long, dst long"))
+    near = {v: {b if a == v else a for a, b in pairs if v in (a, b)} for v in range(0, 120, 3)}
+    want = [(u, v, len(near[u] & near[v])) for u in near for v in near if u < v and near[u] & near[v]]
+    monkeypatch.setattr(metrics, "BLOCK_ARCS", arcs)
+    monkeypatch.setattr(metrics, "PAIRS", 100)
+    got = metrics.common_neighbours(graph)
+    assert rows(got) == sorted(want) and dict(got.dtypes) == dict.fromkeys("uvn", "bigint")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    assert metrics.common_neighbours(G.Graph(graph.vertices, graph.edges.limit(0))).count() == 0
