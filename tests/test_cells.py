@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgraph.operators import graph as G
-from veilgraph.operators import metrics, synthesis
+from veilgraph.operators import mechanisms, metrics, synthesis
 
 
 def rows(df):
@@ -68,3 +68,19 @@ def test_common_neighbours_in_blocks(spark, monkeypatch, arcs):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
     assert metrics.common_neighbours(G.Graph(graph.vertices, graph.edges.limit(0))).count() == 0
+
+
+def test_a_batch_needs_the_arcs_of_its_own_vertices_only(spark):
+    edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 5) % 6 == 0], "src long, dst long")
+    graph = G.Graph(spark.range(40).withColumnRenamed("id", "vid"), edges)
+    partition = graph.vertices.select("vid", (F.col("vid") % 5).alias("com"))
+    turn = mechanisms._dealt(3, F.col("src"), 4)
+    for batch in (0, 3):
+        own = G.both_ways(edges).where(turn == batch)
+        want = rows(mechanisms.em_batch(graph, partition, 2.0, 3, batch=batch, batches=4))
+        moved = mechanisms.em_batch(graph, partition, 2.0, 3, batch=batch, batches=4, arcs=own)
+        assert rows(moved) == want and any(v % 5 != c for v, c in want)
+    by_batches = partition
+    for batch in range(4):
+        by_batches = mechanisms.staged(mechanisms.em_batch(graph, G.renumbered(by_batches), 2.0, 3, batch=batch, batches=4))
+    assert rows(mechanisms.adjust_communities(graph, partition, 2.0, 3)) == rows(G.renumbered(by_batches))
