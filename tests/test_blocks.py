@@ -192,3 +192,87 @@ def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon, gu
     assert rows(mechanisms.noisy_links(edges, groups, epsilon, 5)) == want and len(want) > 9
     monkeypatch.setattr(mechanisms, "louvain_rounds", lambda nodes, links, *_: nodes.select("vid", (F.col("vid") * links.count()).alias("com")))
     assert mechanisms.group_communities(edges, groups, epsilon, 5).agg(F.max("com")).first()[0] == 39 * len(want)
+
+
+def test_hubs_spare_searches(monkeypatch):
+    """Vertices that can be no farther than what is found aren't searched from."""
+    dice = np.random.default_rng(3)
+    ends = np.sort(dice.integers(0, 900, (18_000, 2)), axis=1)
+    ends = np.unique(np.concatenate([ends[ends[:, 0] < ends[:, 1]], [[0, 900], [900, 901], [1, 902], [902, 903]]]), axis=0)
+    searched, plain = [], metrics._depth
+
+    def counted(first, other, sources):
+        searched.append(len(sources))
+        return plain(first, other, sources)
+
+    monkeypatch.setattr(metrics, "_depth", counted)
+    monkeypatch.setattr(metrics, "SOURCES", 64)
+    assert max(metrics._component_depth(*ends.T, k, 2) for k in range(2)) == _longest([tuple(e) for e in ends.tolist()])
+    assert sum(searched) < 700
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_a_small_level_is_one_task_with_the_same_moves(spark, monkeypatch, weighted):
+    from veilgraph.operators import louvain
+
+    pairs = [(a * 3, b * 3, float(1 + (a + b) % 3)) for a in range(50) for b in range(a, 50) if (a * 7 + b * 5) % (4 if a % 5 == b % 5 else 19) == 0 and (weighted or a < b)]
+    edges = spark.createDataFrame(pairs, "src long, dst long, weight double").select("src", "dst", *["weight"] * weighted)
+    vertices = spark.range(51).select((F.col("id") * 3).alias("vid"))
+    rounds, found = louvain._moved, []
+
+    def counted(*args):
+        found.append(1)
+        return rounds(*args)
+
+    monkeypatch.setattr(louvain, "_moved", counted)
+    one = rows(louvain.louvain_rounds(vertices, edges, 0.9, seed=4))
+    assert not found and len({c for _, c in one}) > 2
+    monkeypatch.setattr(louvain, "TASK_LINKS", -1)
+    monkeypatch.setattr(louvain, "TASK_WEIGHTS", -1)
+    assert rows(louvain.louvain_rounds(vertices, edges, 0.9, seed=4)) == one and found
+
+
+@pytest.mark.parametrize("limits", [{}, {"FOREST": 8}, {"FOREST": 8, "TASK_VERTICES": 0}])
+def test_components_begin_with_what_tasks_know(spark, monkeypatch, limits):
+    from veilgraph.operators import components
+
+    for name, value in limits.items():
+        monkeypatch.setattr(components, name, value)
+    edges = [(v, v + 3) for v in range(0, 60) if v % 17] + [(7, 7), (40, 2)]
+    want = {v: v for v in range(70)}
+    for _ in range(70):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    frame = spark.createDataFrame(edges + [(None, 3)], "src long, dst long").repartition(3)
+    assert dict(components.connected_components(spark.range(70).withColumnRenamed("id", "vid"), frame).collect()) == want
+
+
+def test_centrality_in_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, 30) if (a * 7 + b * 5) % 9 == 0], "src long, dst long")
+    graph = G.Graph(spark.range(31).withColumnRenamed("id", "vid"), edges)
+    one = dict(rows(metrics.eigenvector_centrality(graph)))
+    with pytest.raises(ArithmeticError):
+        metrics.eigenvector_centrality(graph, tolerance=0.0, max_iterations=5)
+    monkeypatch.setattr(metrics, "TASK_PATHS", -1)
+    assert one == pytest.approx(dict(rows(metrics.eigenvector_centrality(graph))), abs=1e-12) and len(one) == 31
+
+
+def test_runs_of_a_table_are_made_at_once(spark, monkeypatch):
+    import threading
+
+    from veilgraph.plans import experiment, staging
+
+    meet, left = threading.Barrier(3), []
+
+    def measure(graph, **_):
+        meet.wait(60)  # the original's and both runs' are under way
+        left.append(staging.staged(spark.range(2), "left")._staged_at)
+        return graph
+
+    monkeypatch.setattr(experiment, "measure", measure)
+    monkeypatch.setattr(experiment, "publish", lambda graph, epsilon, seed: epsilon)
+    monkeypatch.setattr(experiment, "compare", lambda a, b: dict.fromkeys(experiment.METRICS, b))
+    with staging.staging_scope() as paths:
+        table = experiment.run_table(spark, 0.5, experiment.sweep(epsilon=[1.0, 3.0]), 1).collect()
+    assert [(r.eps, r.nmi, r.error) for r in table] == [(1.0, 1.0, None), (3.0, 3.0, None)]
+    assert sorted(paths) == sorted(left) and sum(p in staging._STAGED for p in left) == 1
