@@ -201,9 +201,9 @@ def test_hubs_spare_searches(monkeypatch):
     ends = np.unique(np.concatenate([ends[ends[:, 0] < ends[:, 1]], [[0, 900], [900, 901], [1, 902], [902, 903]]]), axis=0)
     searched, plain = [], metrics._depth
 
-    def counted(first, other, sources):
+    def counted(first, other, sources, *rest):
         searched.append(len(sources))
-        return plain(first, other, sources)
+        return plain(first, other, sources, *rest)
 
     monkeypatch.setattr(metrics, "_depth", counted)
     monkeypatch.setattr(metrics, "SOURCES", 64)
@@ -211,6 +211,22 @@ def test_hubs_spare_searches(monkeypatch):
     assert sum(searched) < 700
 
 
+def test_searches_go_on_from_few_far_vertices(monkeypatch):
+    """A vertex at the rim is as far from its hubs as any two are."""
+    dice = np.random.default_rng(5)
+    ends = [(a, b) for a in range(200) for b in range(a + 1, 200) if dice.random() < 0.4]
+    ends = np.array([*ends, (7, 200)])
+    searched, plain = [], metrics._depth
+
+    def counted(first, other, sources, *rest):
+        searched.append(len(sources))
+        return plain(first, other, sources, *rest)
+
+    monkeypatch.setattr(metrics, "_depth", counted)
+    assert max(metrics._component_depth(*ends.T, k, 2) for k in range(2)) == _longest([tuple(e) for e in ends.tolist()]) == 3
+    assert sum(searched) < 150  # 128 of them for the vertices of fewest edges
+
+
 @pytest.mark.parametrize("weighted", [False, True])
 def test_a_small_level_is_one_task_with_the_same_moves(spark, monkeypatch, weighted):
     from veilgraph.operators import louvain
