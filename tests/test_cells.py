@@ -1,5 +1,9 @@
 """Steps dealt out by communities, against the form in which rows travel."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +89,22 @@ def test_common_neighbours_in_blocks(spark, monkeypatch, arcs):
     assert metrics.common_neighbours(G.Graph(graph.vertices, graph.edges.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("spread", [1, 1 << 40])
+def test_counting_holds_few_words_of_an_arc(spread):
+    rng = np.random.default_rng(5)
+    lists = [np.sort(rng.choice(2000, 100, replace=False)) * spread for _ in range(2000)]
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    a = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(lists)))
+    flat = np.zeros((2000, 2000), np.int64)
+    for x in lists:
+        flat[np.ix_(x // spread, x // spread)] += 1
+    tracemalloc.start()
+    found = sum(int((n == flat[u // spread, v // spread]).sum()) for u, v, n in metrics._shared(0, 1, a, a))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == np.count_nonzero(flat) and most < (50 if spread == 1 else 80) * cuts[-1], most / cuts[-1]
+
+
 def test_a_batch_needs_the_arcs_of_its_own_vertices_only(spark):
     edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 5) % 6 == 0], "src long, dst long")
     graph = G.Graph(spark.range(40).withColumnRenamed("id", "vid"), edges)
