@@ -105,6 +105,17 @@ def test_counting_holds_few_words_of_an_arc(spread):
     assert found == np.count_nonzero(flat) and most < (50 if spread == 1 else 80) * cuts[-1], most / cuts[-1]
 
 
+def test_non_neighbours_leave_edges_between_communities_where_they_are(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(synthesis, "block_pairs", lambda df, *c, f=synthesis.block_pairs: (sent.append(df), f(df, *c))[1])
+    vertices = spark.createDataFrame([(v % 3, v) for v in range(30)], "com long, vid long")
+    pairs = [(u, v) for u in range(30) for v in range(u + 1, 30)]
+    edges = [p for p in pairs if sum(p) % 4]
+    made = metrics.non_neighbours(G.Graph(vertices.select("vid"), spark.createDataFrame(edges, "src long, dst long")), vertices)
+    assert rows(made) == sorted((u % 3, u, v) for u, v in set(pairs) - set(edges) if u % 3 == v % 3)
+    assert all((r.vid - x) % 3 == 0 for r in sent[0].collect() for x in r.near)
+
+
 def test_a_batch_needs_the_arcs_of_its_own_vertices_only(spark):
     edges = spark.createDataFrame([(a, b) for a in range(40) for b in range(a + 1, 40) if (a * 7 + b * 5) % 6 == 0], "src long, dst long")
     graph = G.Graph(spark.range(40).withColumnRenamed("id", "vid"), edges)
