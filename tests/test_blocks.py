@@ -194,6 +194,22 @@ def test_cells_between_groups_are_made_in_blocks(spark, monkeypatch, epsilon, gu
     assert mechanisms.group_communities(edges, groups, epsilon, 5).agg(F.max("com")).first()[0] == 39 * len(want)
 
 
+def test_a_quarter_of_the_vertices_covers_the_rest(monkeypatch):
+    """In a graph where hubs bound nothing few searches remain; odd graphs keep
+    their diameter, whatever a cover leaves open."""
+    rng = np.random.default_rng(3)
+    made = sorted({(min(e), max(e)) for e in rng.integers(0, 600, (9000, 2)).tolist() if e[0] != e[1]})
+    tail = [*made, *((600 + k, 601 + k) for k in range(4)), (17, 600)]
+    asked = []
+    monkeypatch.setattr(metrics, "SOURCES", 64)
+    monkeypatch.setattr(metrics, "COVER_VERTICES", 16, raising=False)
+    monkeypatch.setattr(metrics, "_depth", lambda *a, f=metrics._depth, **k: (asked.append(len(a[2])), f(*a, **k))[1])
+    assert metrics._component_depth(*np.array(made).T, 0, 1) == _longest(made) == 3 and sum(asked) < 450
+    for part in [*_lumps()[:3], tail]:
+        src, dst = np.array(part).T
+        assert metrics._component_depth(src, dst, 0, 1) == max(metrics._component_depth(src, dst, k, 3) for k in range(3)) == _longest(part)
+
+
 def test_hubs_spare_searches(monkeypatch):
     """Vertices that can be no farther than what is found aren't searched from."""
     dice = np.random.default_rng(3)
