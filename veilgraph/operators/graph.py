@@ -132,7 +132,8 @@ def all_weights(graph: Graph, partition: DataFrame) -> DataFrame:
 def intra_degrees(graph: Graph, partition: DataFrame) -> DataFrame:
     """(com, vid, deg): edges of each vertex within its own community."""
     within = edge_communities(graph.edges, partition).where("cu = cv").select("src", "dst")
-    found = both_ways(within).groupBy("src").agg(F.count("*").alias("d"))
+    ends = within.select(F.explode(F.array("src", "dst")).alias("src"))  # joined once, as a union of both ways would not be
+    found = ends.groupBy("src").agg(F.count("*").alias("d"))
     return partition.join(found, F.col("vid") == F.col("src"), "left").select("com", "vid", F.coalesce("d", F.lit(0)).alias("deg"))
 
 
